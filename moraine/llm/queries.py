@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import toxicity
+from moraine.llm import simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,3 +30,9 @@ def query(name: str, sql: str | None = None):
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier rejects, with their scores. Every document is scored."""
     return toxicity.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_simhash_dedup")
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that has a near-duplicate which stays, with that one. All documents are compared."""
+    return simhash.duplicates(table(spark, sf_dir, "documents"))
