@@ -110,3 +110,17 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
 def strings(texts: pa.Array) -> list[str]:
     """The texts as Python strings, null as an empty one."""
     return [t or "" for t in texts.to_pylist()]
+
+
+#: Most rows of 64-bit keys that are broadcast (some 30 MB when hashed); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most limit rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def without(docs: DataFrame, key: str, lost: DataFrame) -> DataFrame:
+    """The rows of docs whose key isn't in lost (column key, materialised). lost is broadcast only if it is small enough."""
+    return docs.join(F.broadcast(lost) if small(lost) else lost, key, "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import simhash, toxicity
+from moraine.llm import simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,3 +36,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that has a near-duplicate which stays, with that one. All documents are compared."""
     return simhash.duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each benchmark item that it holds half of or more."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import batches, fresh, mix, row_key, word_hashes
+from moraine.llm.common import batches, fresh, mix, row_key, small, without, word_hashes
 from moraine.session import checkpointed
 
 BITS = 128
@@ -263,11 +263,11 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     key, gone = fresh(docs, "row_key_of_text", "gone")
     out = docs.withColumn(key, row_key(id_col, text_col))
     lost = g.where("key != keep").select(F.col("key").alias(key)).distinct()
-    out = out.join(lost, key, "left_anti")
+    out = without(out, key, lost)
     # of rows alike in id and text one stays; only what a group keeps can be repeated
     again = g.where("key = keep and n > 1").select(F.col("key").alias(key), F.lit(True).alias(gone))
     if again.isEmpty():
         return out.select(*docs.columns)
-    marked = out.join(again, key, "left")
+    marked = out.join(F.broadcast(again) if small(again) else again, key, "left")
     twice = marked.where(F.col(gone)).dropDuplicates([key])
     return marked.where(F.col(gone).isNull()).unionByName(twice).select(*docs.columns)
