@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import simhash, tiling, toxicity
+from moraine.llm import mixing, sharding, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,3 +42,15 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with each benchmark item that it holds half of or more."""
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_source_mixing", mixing.mixture_sql())
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document of a block that gets a seat, with its block, seat and shard."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("op3_hash_tree_sharding", sharding.placement_sql())
+def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region, rack and shard of every document."""
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id"))
