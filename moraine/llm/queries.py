@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import mixing, sharding, simhash, tiling, toxicity
+from moraine.llm import guesses, mixing, sharding, simhash, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,3 +54,9 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region, rack and shard of every document."""
     return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value in a credential context of any document, with its guess cost; never the value itself."""
+    return guesses.scanned(table(spark, sf_dir, "documents"))
