@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import guesses, mixing, sharding, simhash, tiling, toxicity
+from moraine.llm import guesses, mixing, sharding, simhash, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -60,3 +60,9 @@ def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value in a credential context of any document, with its guess cost; never the value itself."""
     return guesses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op1_pii_surrogates")
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data, and how many mentions were replaced."""
+    return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="replaced")
