@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import guesses, mixing, sharding, simhash, surrogates, tiling, toxicity
+from moraine.llm import guesses, licenses, mixing, sharding, simhash, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for its personal data, and how many mentions were replaced."""
     return surrogates.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="replaced")
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each span of a licence template in any document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
