@@ -174,7 +174,10 @@ def part_value(bits: list[int]) -> Column:
 
 
 def near_pairs(prints: DataFrame, distance: int, parts: int) -> DataFrame:
-    """x < y: the ids (column id, distinct) of all pairs of rows within distance. Each pair comes once."""
+    """x, y: hashes of the fingerprints of all pairs within distance; prints: distinct fingerprints a, b. Each pair comes once.
+
+    Probes carry the fingerprint and nothing else that identifies it, as they are the most that is shuffled.
+    """
     bits, thresholds = plan(*moments(prints), distance, parts)
     used = [i for i, t in enumerate(thresholds) if t >= 0]
 
@@ -188,8 +191,8 @@ def near_pairs(prints: DataFrame, distance: int, parts: int) -> DataFrame:
             around = F.array(*(F.lit(m) for m in ball(len(bits[i]), radius)))
             # transform over a one-entry array takes the bits out once, not for each entry of the ball
             lists.append(F.flatten(F.transform(F.array(part_value(bits[i])), meetings(around, i))))
-        exploded = prints.select("id", "a", "b", F.explode(F.concat(*lists)).alias("p"))
-        return exploded.select(F.col("p.at").alias("at"), F.col("p.m").alias(f"m{side}"), *(F.col(c).alias(f"{c}{side}") for c in ("id", "a", "b")))
+        exploded = prints.select("a", "b", F.explode(F.concat(*lists)).alias("p"))
+        return exploded.select(F.col("p.at").alias("at"), F.col("p.m").alias(f"m{side}"), *(F.col(c).alias(f"{c}{side}") for c in ("a", "b")))
 
     def signed(v: int) -> Column:
         return F.lit(v - (1 << 64) if v >> 63 else v).cast("long")
@@ -209,8 +212,9 @@ def near_pairs(prints: DataFrame, distance: int, parts: int) -> DataFrame:
     meeting = F.coalesce(*(F.when(part == i, by_radius[thresholds[i] // 2]) for i in used))
     first = F.coalesce(*(F.when(apart(i) <= thresholds[i], F.lit(i)) for i in used))
     close = (F.bit_count(xa) + F.bit_count(xb)) <= distance
-    met = probes(0).join(probes(1), "at").where((F.col("id0") < F.col("id1")) & (F.col("m1") == meeting) & close & (part == first))
-    return met.select(F.col("id0").alias("x"), F.col("id1").alias("y"))
+    once = (F.col("a0") < F.col("a1")) | ((F.col("a0") == F.col("a1")) & (F.col("b0") < F.col("b1")))
+    met = probes(0).join(probes(1), "at").where(once & (F.col("m1") == meeting) & close & (part == first))
+    return met.select(F.xxhash64("a0", "b0").alias("x"), F.xxhash64("a1", "b1").alias("y"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -240,11 +244,11 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, *, distance: int = 20, parts: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, id, keep (key of the one that stays), keep_id and members, for each distinct row of a group of two or more."""
     prints = checkpointed(fingerprinted(docs, id_col, text_col))
-    distinct = checkpointed(prints.groupBy("a", "b").agg(F.min("key").alias("id")))
+    distinct = checkpointed(prints.select("a", "b").distinct())
     roots = components(near_pairs(distinct, distance, parts))
     own = prints.groupBy("a", "b", "key").agg(F.first("id").alias("id"), F.count("*").alias("n"))
-    node = distinct.join(roots, F.col("id") == F.col("node"), "left").select("a", "b", F.coalesce("root", "id").alias("root"))
-    placed = own.join(node, ["a", "b"])
+    print_ = F.xxhash64("a", "b")
+    placed = own.withColumn("node", print_).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull().alias("u"), F.col("id").alias("id"), F.col("key").alias("key"))
     first = placed.groupBy("root").agg(F.min(order).alias("f"), F.sum("n").alias("members")).where("members > 1")
     return checkpointed(placed.join(first, "root").select("key", "id", F.col("f.key").alias("keep"), F.col("f.id").alias("keep_id"), "members", "n"))
