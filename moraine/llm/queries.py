@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import guesses, licenses, mixing, sharding, simhash, surrogates, tiling, toxicity
+from moraine.llm import guesses, licenses, mixing, readability, sharding, simhash, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each span of a licence template in any document."""
     return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and main text of every page."""
+    return readability.extracted(table(spark, sf_dir, "pages"))
