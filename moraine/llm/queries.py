@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from moraine.llm import guesses, licenses, mixing, readability, sharding, simhash, surrogates, tiling, toxicity
+from moraine.llm import covertree, guesses, licenses, mixing, readability, sharding, simhash, surrogates, tiling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and main text of every page."""
     return readability.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op9_exact_topk", covertree.top_k_sql())
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar others of every embedding."""
+    return covertree.top_k(table(spark, sf_dir, "embeddings"))
