@@ -50,3 +50,24 @@ def applied(table: DataFrame, log: DataFrame, key: str, order: str, columns: lis
     last = known.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     kept = table.join(last.select(key), key, "left_anti").select(key, *columns)
     return kept.unionByName(last.where("action <> 'delete'").select(key, *columns))
+
+
+def update_action(active: Column, url: Column, old_url: Column, selector: Column, old_selector: Column, has_content: Column) -> Column:
+    """deactivate, scrape (the source changed or there is no content) or metadata."""
+    return F.when(~active, "deactivate").when(source_changed(url, old_url, selector, old_selector, has_content), "scrape").otherwise("metadata")
+
+
+def lookup(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """ids with the rows of table that have their key; null keys find nothing."""
+    return ids.where(F.col(key).isNotNull()).join(table, key)
+
+
+def replaced(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """All rows of incoming, and those of stored whose key doesn't come in."""
+    return deleted(stored, incoming, key).unionByName(incoming)
+
+
+def config(variables: DataFrame, names: DataFrame, default: str) -> DataFrame:
+    """name and content of each name: the value that isn't deleted, else the default. variables: name, content, deleted_at."""
+    live = variables.where("deleted_at IS NULL").groupBy("name").agg(F.min("content").alias("content"))
+    return names.join(live, "name", "left").select("name", F.coalesce(F.nullif(F.trim("content"), F.lit("")), F.lit(default)).alias("content"))

@@ -168,4 +168,17 @@ def read_files(spark: SparkSession, path: str, *, ocr: Ocr | None = None) -> Dat
     return files.select(F.xxhash64("path").alias("source_id"), "path", "content").mapInPandas(run, BLOCK_SCHEMA + ", path string, error string")
 
 
-__all__ = ["decode", "docx_blocks", "file_blocks", "level_of", "markdown_blocks", "read_files", "xlsx_blocks"]
+def read_markdown(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Block rows of texts in markdown."""
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            frame = pd.DataFrame([r for i, t in zip(part["id"], part["text"]) for r in block_rows(i, markdown_blocks(t))], columns=names)
+            frame["heading_level"] = frame["heading_level"].astype("Int32")
+            yield frame
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, BLOCK_SCHEMA)
+
+
+__all__ = ["decode", "docx_blocks", "file_blocks", "level_of", "markdown_blocks", "read_files", "read_markdown", "xlsx_blocks"]

@@ -237,3 +237,7 @@ def read_chunks(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "h
     from moraine.operators.chunking import CHUNK_SCHEMA
 
     return _table(pages, CHUNK_SCHEMA, lambda i, h: rows(i, chunk_blocks(i, page_blocks(h), WEB_SIZES)), id_col, html_col)
+
+
+def read_selected(pages: DataFrame, selector: str, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    return _table(pages, "page_id long, content string", lambda i, h: [(i, selected(h, selector))], id_col, html_col)
