@@ -137,7 +137,7 @@ class Draw:
 
 def like(draw: Draw, s: str) -> str:
     """Each letter and digit exchanged for one of its kind; hexadecimal stays hexadecimal."""
-    hexa = len(s) >= 16 and re.fullmatch("[0-9a-f]+", s)
+    hexa = len(s) >= 16 and re.fullmatch("[0-9a-f]+", s) and not s.isdecimal()
     out = []
     for c in s:
         if hexa:
