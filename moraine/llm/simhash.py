@@ -178,6 +178,8 @@ def near_pairs(prints: DataFrame, distance: int, parts: int) -> DataFrame:
 
     Probes carry the fingerprint and nothing else that identifies it, as they are the most that is shuffled.
     """
+    if parts * 32 < BITS:
+        raise ValueError(f"{parts} parts of {BITS} bits are too wide; a part has at most 32")
     bits, thresholds = plan(*moments(prints), distance, parts)
     used = [i for i, t in enumerate(thresholds) if t >= 0]
 
