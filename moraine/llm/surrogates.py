@@ -269,7 +269,7 @@ def replaced(docs: DataFrame, *, key: bytes = b"moraine-surrogates", id_col: str
     place = next(i for i, c in enumerate(names) if c.lower() == text_col.lower())
     schema = docs.schema
     if count_col:
-        schema = docs.schema.add(count_col, "integer", False)
+        schema = docs.select("*").schema.add(count_col, "integer", False)
     known, extra = None, []
     source = docs
     if small(again, broadcast_rows):
