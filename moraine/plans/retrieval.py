@@ -156,12 +156,12 @@ def content_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH given AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS rank,
-  CASE WHEN lang = 'en' THEN 'kb:medan-main:document:' || doc_id WHEN lang = 'de' THEN 'web:' || doc_id ELSE 'x' || doc_id END AS ref FROM documents)
+  CASE WHEN lang = 'en' THEN 'kb:city-main:document:' || doc_id WHEN lang = 'de' THEN 'web:' || doc_id ELSE 'x' || doc_id END AS ref FROM documents)
 SELECT doc_id, rank, CASE WHEN starts_with(ref, 'kb:') THEN 'document' ELSE 'web' END AS source, ref, 0.0::DOUBLE AS score FROM given WHERE NOT starts_with(ref, 'x') AND trim(content) <> ''""")
 def graph_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of a graph search, one row per chunk; blank ones and those of unknown origin go, a missing score is 0."""
     ident = F.col("doc_id").cast("string")
-    ref = F.when(F.col("lang") == "en", T.document_id(F.lit("medan-main"), F.lit("document"), ident)).when(F.col("lang") == "de", F.concat(F.lit("web:"), ident)).otherwise(F.concat(F.lit("x"), ident))
+    ref = F.when(F.col("lang") == "en", T.document_id(F.lit("city-main"), F.lit("document"), ident)).when(F.col("lang") == "de", F.concat(F.lit("web:"), ident)).otherwise(F.concat(F.lit("x"), ident))
     given = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("chunks"), ref.alias("ref"))
     rows = given.select("doc_id", "ref", F.posexplode("chunks").alias("at", "content"))
     kind = F.coalesce(T.parsed_document_id(F.col("ref"))["type"], T.source_type(F.col("ref"), F.lit(None), F.lit(None)))

@@ -208,14 +208,14 @@ def answer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "value", F.array_join(T.parse_answer_id(F.col("value")), "|").alias("ids"))
 
 
-@query(r"""WITH named AS (SELECT doc_id, source || ' (' || lang || ') #' || doc_id || '.pdf' AS name, 'kb:medan-main:document:' || source || ':' || doc_id AS ident FROM documents)
-SELECT doc_id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS filename, ident, 'medan-main' AS kb, 'document' AS kind, regexp_extract(ident, '^kb:[^:]+:[a-z]+:(.+)$', 1) AS id,
+@query(r"""WITH named AS (SELECT doc_id, source || ' (' || lang || ') #' || doc_id || '.pdf' AS name, 'kb:city-main:document:' || source || ':' || doc_id AS ident FROM documents)
+SELECT doc_id, regexp_replace(name, '[^A-Za-z0-9._-]', '_', 'g') AS filename, ident, 'city-main' AS kb, 'document' AS kind, regexp_extract(ident, '^kb:[^:]+:[a-z]+:(.+)$', 1) AS id,
   'document://' || doc_id || '/' || name AS uri, lower(regexp_extract(name, '\.([a-z]+)$', 1)) IN ('pdf', 'docx', 'xlsx', 'jpg', 'jpeg', 'png') AS allowed FROM named""")
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names made safe, logical ids built and taken apart again, addresses, and the kinds of file that are taken."""
     name = F.concat("source", F.lit(" ("), "lang", F.lit(") #"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     d = table(spark, sf_dir, "documents").withColumn("name", name)
-    d = d.withColumn("ident", T.document_id(F.lit("medan-main"), F.lit("document"), F.concat_ws(":", "source", F.col("doc_id").cast("string"))))
+    d = d.withColumn("ident", T.document_id(F.lit("city-main"), F.lit("document"), F.concat_ws(":", "source", F.col("doc_id").cast("string"))))
     d = d.withColumn("p", T.parsed_document_id(F.col("ident")))
     uri = T.source_uri(F.lit("document"), F.col("doc_id").cast("string"), F.col("name"))
     return d.select("doc_id", T.sanitized_filename(F.col("name")).alias("filename"), "ident", "p.kb", F.col("p.type").alias("kind"), "p.id", uri.alias("uri"), T.allowed_file(F.col("name")).alias("allowed"))

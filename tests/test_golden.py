@@ -32,10 +32,10 @@ def test_answer_ids(spark, value, want):
 
 
 def test_document_ids(spark):
-    p = one(spark, T.parsed_document_id(F.col("v")), v="kb:medan-main:document:a:b")
-    assert (p.kb, p.type, p.id) == ("medan-main", "document", "a:b")
-    assert one(spark, T.parsed_document_id(F.col("v")), v="kb:medan-main:website:123").type is None
-    assert one(spark, T.source_type(F.col("v"), F.lit(None), F.lit(None)), v="kb:medan-main:website:123") == "unknown"
+    p = one(spark, T.parsed_document_id(F.col("v")), v="kb:city-main:document:a:b")
+    assert (p.kb, p.type, p.id) == ("city-main", "document", "a:b")
+    assert one(spark, T.parsed_document_id(F.col("v")), v="kb:city-main:website:123").type is None
+    assert one(spark, T.source_type(F.col("v"), F.lit(None), F.lit(None)), v="kb:city-main:website:123") == "unknown"
 
 
 def test_header(spark):
