@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moraine.llm.common import BROADCAST_ROWS, batches, gram_hashes, word_hashes
+from moraine.llm.common import BROADCAST_ROWS, batches, gram_hashes, map_texts, word_hashes
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
@@ -73,7 +73,7 @@ def grams(docs: DataFrame, text: str, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row, lists], names=["row", "grams"])
 
     kind = docs.schema["row"].dataType.simpleString()
-    return docs.select("row", F.lower(text).alias("text")).mapInArrow(run, f"row {kind}, grams array<long>").select("row", F.posexplode("grams").alias("at", "gram"))
+    return map_texts(docs.select("row", F.lower(text).alias("text")), run, f"row {kind}, grams array<long>").select("row", F.posexplode("grams").alias("at", "gram"))
 
 
 def scanned(docs: DataFrame, *, templates: dict[str, str] | None = None, k: int = 3, slack: int = 8, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import fresh
+from moraine.llm.common import fresh, map_texts
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -192,4 +192,4 @@ def extracted(pages: DataFrame, *, html_col: str = "html", keep_html: bool = Fal
             own = [extract(x.as_py()) for x in part.column(len(names))]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([o[0] for o in own], pa.string()), pa.array([o[1] for o in own], pa.string())], names=schema.names)
 
-    return pages.select(*names, F.col(html_col).alias(page)).mapInArrow(run, schema)
+    return map_texts(pages.select(*names, F.col(html_col).alias(page)), run, schema)

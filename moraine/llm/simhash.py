@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import batches, fresh, mix, row_key, small, without, word_hashes
+from moraine.llm.common import batches, fresh, map_texts, mix, row_key, small, without, word_hashes
 from moraine.session import checkpointed
 
 BITS = 128
@@ -76,7 +76,8 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 has = pa.array(has)
                 yield pa.RecordBatch.from_arrays([key.filter(has), id_.filter(has), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)).filter(has) for i in (0, 1))], names=["key", "id", "a", "b"])
 
-    return docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.lower(text_col).alias("text")).mapInArrow(run, f"key long, id {kind}, a long, b long")
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    return map_texts(rows, run, f"key long, id {kind}, a long, b long")
 
 
 def moments(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:

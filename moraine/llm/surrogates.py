@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import BROADCAST_ROWS, fresh, row_key, small
+from moraine.llm.common import BROADCAST_ROWS, fresh, map_texts, row_key, small
 from moraine.session import checkpointed
 
 TYPES = ("email", "credential", "iban", "ip", "card", "ssn", "phone", "name")
@@ -234,7 +234,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
             own = sorted({m[2:] for t in part.column(0) for m in mentions(t.as_py())})
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.string())], names=["type", "entity"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "type string, entity string").distinct()
+    return map_texts(docs.select(F.col(text_col).alias("text")), run, "type string, entity string").distinct()
 
 
 def redrawn(found: DataFrame, key: bytes) -> DataFrame:
@@ -283,7 +283,7 @@ def replaced(docs: DataFrame, *, key: bytes = b"moraine-surrogates", id_col: str
                 own = [[{"type": t, "entity": e} for t, e in sorted({m[2:] for m in mentions(x.as_py())})] for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.struct([("type", pa.string()), ("entity", pa.string())])))], names=["row", "own"])
 
-        listed = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")).mapInArrow(list_, f"row long, own {kind}").select("row", F.inline("own")).distinct()
+        listed = map_texts(docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text")), list_, f"row long, own {kind}").select("row", F.inline("own")).distinct()
         per_row = listed.join(again, ["type", "entity"]).groupBy("row").agg(F.collect_list(F.struct("type", "entity", "nonce")).alias(mine)).withColumnRenamed("row", row)
         source = docs.withColumn(row, row_key(id_col, text_col)).join(per_row, row, "left")
         extra = [mine]
@@ -301,4 +301,4 @@ def replaced(docs: DataFrame, *, key: bytes = b"moraine-surrogates", id_col: str
                 columns.append(pa.array([n[1] for n in new], pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.select(*names, *extra).mapInArrow(run, schema)
+    return map_texts(source.select(*names, *extra), run, schema)

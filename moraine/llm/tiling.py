@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import batches, fresh, gram_hashes, row_key, without, word_hashes
+from moraine.llm.common import batches, fresh, gram_hashes, map_texts, row_key, without, word_hashes
 from moraine.session import checkpointed
 
 #: Seeds of all items, at 8 bytes each, up to which they are sent to the workers.
@@ -53,7 +53,7 @@ def seeds(docs: DataFrame, key: str, text: str, k: int, wanted: np.ndarray | Non
                 i = np.flatnonzero(use)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[i])), pa.array((i - ptr[doc[i]]).astype(np.int32)), pa.array(g[i].view(np.int64)), pa.array(np.diff(ptr)[doc[i]].astype(np.int32))], names=["key", "at", "seed", "words"])
 
-    return docs.select(F.col(key).alias("key"), F.lower(text).alias("text")).mapInArrow(run, f"key {kind}, at int, seed long, words int")
+    return map_texts(docs.select(F.col(key).alias("key"), F.lower(text).alias("text")), run, f"key {kind}, at int, seed long, words int")
 
 
 def tile(at: np.ndarray, item_at: np.ndarray, k: int) -> list[tuple[int, int, int]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import fresh
+from moraine.llm.common import fresh, map_texts
 
 #: Identity terms by kind. Swaps stay within a kind.
 IDENTITY_TERMS: dict[str, tuple[str, ...]] = {
@@ -97,9 +97,9 @@ class Model:
 def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2: float = 1e-3, steps: int = 250, rate: float = 0.1, terms: dict[str, tuple[str, ...]] | None = None, min_ratio: float = 2.0, min_evidence: float = 18.0) -> Model:
     """Train on whole labelled texts.
 
-    counterfactual: weight of the swap penalty; 0 turns it off. A feature is used if at least min_docs toxic
-    texts have it and its share among them is exp(min_ratio) times that among the clean ones, 
-    so the weights say what speaks for toxicity.
+    counterfactual: weight of the swap penalty; 0 turns it off. A feature is used if its share among the toxic texts is
+    exp(min_ratio) times that among the clean ones or more, and the evidence for that (twice the log-likelihood ratio)
+    is min_evidence at least, so the weights say what speaks for toxicity. l2, steps, rate: of the descent.
     """
     kinds = IDENTITY_TERMS if terms is None else terms
     kind_of = {t: k for k, ts in kinds.items() for t in ts}
@@ -206,6 +206,9 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", columns: li
     """
     columns = docs.columns if columns is None else columns
     (text,) = fresh(docs, "text_to_score")
+    # a text that is among the columns isn't sent to the workers twice
+    place = next((i for i, c in enumerate(columns) if c.lower() == text_col.lower()), len(columns))
+    extra = [F.col(text_col).alias(text)] if place == len(columns) else []
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # a few MB, bound by the sample
     schema = docs.select(*columns).schema
     if score_col:
@@ -214,14 +217,14 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", columns: li
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for part in parts:
-            s = np.array([own.score(t.as_py()) for t in part.column(len(columns))])
+            s = np.array([own.score(t.as_py()) for t in part.column(place)])
             out = [*part.columns[: len(columns)]]
             if score_col:
                 out.append(pa.array(s, pa.float64()))
             part = pa.RecordBatch.from_arrays(out, names=schema.names)
             yield part if threshold is None else part.filter(pa.array(s < threshold))
 
-    return docs.select(*columns, F.col(text_col).alias(text)).mapInArrow(run, schema)
+    return map_texts(docs.select(*columns, *extra), run, schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
