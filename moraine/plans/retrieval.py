@@ -10,6 +10,7 @@ from moraine.operators import chunking, context, embedding, ranking, vector
 from moraine.plans.registry import query, table
 from moraine.plans.texts import jaccard_sql, terms_sql
 from moraine.plans.vectors import nearest, nearest_sql
+from moraine.session import written
 
 _SOURCE = "['text', 'document', 'web'][id % 3 + 1]"
 _CANDIDATES = nearest_sql(9) + f""",
@@ -199,13 +200,14 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole search: every question over the child chunks of all documents, best of each parent, context, penalty, five per question."""
     chunks = chunking.chunk_texts(table(spark, sf_dir, "documents"))
     # ids are 64-bit for the search; chunk ids are hashes already
-    chunks = chunks.withColumn("id", F.conv(F.substring("chunk_id", 1, 15), 16, 10).cast("long"))
+    # chunks and vectors are stored, as a product of blocks reads its sides again and again
+    chunks = written(chunks.withColumn("id", F.conv(F.substring("chunk_id", 1, 15), 16, 10).cast("long")))
     children = chunks.where("chunk_level = 'child'")
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").where(T.hard_filter(F.col("text")).isNull())
     # each distinct question is asked once
     asked = asked.select(F.xxhash64("text").alias("qid"), "text").dropDuplicates(["qid"])
-    q = embedding.embedded(asked, prefix=embedding.QUERY).select("qid", "embedding")
-    corpus = embedding.embedded(children.select("id", "text")).select("id", "embedding")
+    q = written(embedding.embedded(asked, prefix=embedding.QUERY).select("qid", "embedding"))
+    corpus = written(embedding.embedded(children.select("id", "text")).select("id", "embedding"))
     hits = vector.top_k(q, corpus, 25, id_col="id").join(children.drop("ordinal", "rank"), "id")
     best = ranking.best_per_key(hits, ["qid"], F.coalesce("parent_chunk_id", "chunk_id"), "score", "rank")
     best = best.withColumn("final_score", T.quality_score(F.col("score"), F.col("text"), F.col("chunk_kind"))).where(F.col("final_score").isNotNull())
