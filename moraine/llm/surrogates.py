@@ -1,8 +1,8 @@
 """PII: keyed, type-consistent surrogates for detected entities.
 
 Entities are found by rule: e-mail addresses, telephone, card and social security numbers, IBANs, IP addresses,
-credentials after a context word, and personal names (a known given name or an honorific before a capitalised
-surname, in Latin or Cyrillic script).
+credentials after a context word, and personal names (one or more known given names before a capitalised surname, or
+an honorific before one or two capitalised words, in Latin or Cyrillic script).
 
 * A surrogate is drawn from HMAC-SHA256 of the key, the type and the normalised entity, so all mentions of an entity,
   in whatever format, get the same one in any document (coreference). The mention's format stays: separators and
@@ -53,8 +53,10 @@ _CARD = re.compile(r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{9,15}(?!\w)")
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-_NAME = re.compile(rf"\b([{_UP}][\w]+)((?: [{_UP}]\.)? )([{_UP}][\w'’-]*\w)")
-_TITLE = re.compile(rf"\b(Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? ([{_UP}][\w'’-]*\w)")
+# both step by one word, so a capitalised word before a name doesn't use it up
+_NAME = re.compile(rf"\b([{_UP}][\w]+)(?=((?: [{_UP}]\.)? )([{_UP}][\w'’-]*\w))")
+_TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Monsieur Madame Господин Госпожа".split()
+_TITLE = re.compile(rf"\b({'|'.join(_TITLES)})\.? (?=([{_UP}][\w'’-]*\w)(?:(?: [{_UP}]\.)? ([{_UP}][\w'’-]*\w))?)")
 _F_TITLES = {"Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"}
 
 #: A mention: begin, end, type, normalised entity.
@@ -98,16 +100,20 @@ def mentions(text: str | None) -> list[Mention]:
         raw += [(m.start(), m.end(), "card", digits(m[0])) for m in _CARD.finditer(text, a, z)]
         raw += [(m.start(), m.end(), "ssn", digits(m[0])) for m in _SSN.finditer(text, a, z)]
         raw += [(m.start(), m.end(), "phone", digits(m[0])[-10:]) for m in _PHONE.finditer(text, a, z) if 8 <= len(digits(m[0])) <= 15]
-    for m in _NAME.finditer(text):
-        if kind := KIND_OF.get(m[1].casefold()):
-            raw.append((m.start(1), m.end(1), "name", f"given:{kind[0]}:{kind[1]}:{m[1].casefold()}"))
+    names = [(m, kind) for m in _NAME.finditer(text) if (kind := KIND_OF.get(m[1].casefold()))]
+    given = {m.start(1) for m, _ in names}
+    for m, kind in names:
+        raw.append((m.start(1), m.end(1), "name", f"given:{kind[0]}:{kind[1]}:{m[1].casefold()}"))
+        if m.start(3) not in given:
             raw.append((m.start(3), m.end(3), "name", f"surname:{script(m[3])}:{kind[1]}:{stem(m[3], kind[1])}"))
     for m in _TITLE.finditer(text):
         gender = "f" if m[1] in _F_TITLES else "m"
-        if m[2].casefold() not in KIND_OF:
-            raw.append((m.start(2), m.end(2), "name", f"surname:{script(m[2])}:{gender}:{stem(m[2], gender)}"))
+        for i in (2, 3):
+            if not m[i] or m.start(i) in given or m[i] in _TITLES:
+                break
+            raw.append((m.start(i), m.end(i), "name", f"surname:{script(m[i])}:{gender}:{stem(m[i], gender)}"))
     out: list[Mention] = []
-    for x in sorted(set(raw), key=lambda x: (TYPES.index(x[2]), x[0], -x[1])):
+    for x in sorted(set(raw), key=lambda x: (TYPES.index(x[2]), x[0], -x[1], x[3])):
         if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
             out.append(x)
     return sorted(out)

@@ -87,3 +87,10 @@ def test_bad_rows(spark):
         assert {r.text for r in got if r.doc_id in (3, 4)} == {None, ""}
         assert next(r.text for r in got if r.doc_id == 6) == LONG
     assert sg.replaced(docs.limit(0), key=KEY).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Contact Mary Johnson", "Dear John Smith", "President James Wilson", "Mrs Mary Johnson", "Frau Anna Petrova", "Yesterday Mary J. Johnson", "Mary Elizabeth Johnson", "Prof. Dr. Hans Keller", "Mr Alistair Johnson", "Dr. James", "Господин Иван Петров"])
+def test_capitalised_words_before_names_hide_none(text):
+    words = [w for w in re.findall(r"\w+", text) if len(w) > 1 and w not in sg._TITLES and w not in ("Contact", "Dear", "President", "Yesterday")]
+    assert [text[a:z] for a, z, k, _ in sg.mentions(text) if k == "name"] == words
+    assert not any(w in sg.rewrite(text, KEY)[0] for w in words)
