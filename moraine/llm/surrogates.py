@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,12 +47,14 @@ SYLLABLES = {"latin": "bar bel cor dan del far fen gar hal hol jan kel lan lor m
 
 _EMAIL = re.compile(r"[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")
 _CREDENTIAL = re.compile(r"""(?i)\b(?:token|password|passwd|secret|api[_-]?key)["']?\s{0,8}[:=]\s{0,8}["']?([A-Za-z0-9_\-+/.=]{8,})""")
-_DIGITS = re.compile(r"(?<![\w.])[+(]?\(?\d[\d .()\-]{5,40}\d(?!\w)|(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+# runs without an upper bound, so none ends within an entity
+_DIGITS = re.compile(r"(?<![\w.])[+(]?\(?\d[\d .()\-]{5,}\d(?!\w)")
 _IP = re.compile(r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_CARD = re.compile(r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\d-])")
+# these three are tried from each place, as what is found at one may be dropped for an entity of another type
+_IBAN = re.compile(r"(?<!\w)(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)))")
+_CARD = re.compile(r"(?<![\d-])(?=((?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\d-])))")
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{9,15}(?!\w)")
+_PHONE = re.compile(r"(?<![\w.])(?=((?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|\+\d{9,15}(?!\w)))")
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 # both step by one word, so a capitalised word before a name doesn't use it up
 _NAME = re.compile(rf"\b([{_UP}][\w]+)(?=((?: [{_UP}]\.)? )([{_UP}][\w'’-]*\w))")
@@ -93,13 +96,16 @@ def mentions(text: str | None) -> list[Mention]:
         raw += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
         raw += [(m.start(1), m.end(1), "credential", m[1]) for m in _CREDENTIAL.finditer(text)]
+    for m in _IBAN.finditer(text):
+        # groups that follow an IBAN aren't part of it
+        if end := next((i for i in range(len(m[1]), 14, -1) if m[1][i : i + 1] in ("", " ") and iban_ok(m[1][:i])), 0):
+            raw.append((m.start(), m.start() + end, "iban", m[1][:end].replace(" ", "")))
     for area in _DIGITS.finditer(text):
         a, z = area.span()
-        raw += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in _IBAN.finditer(text, a, z) if iban_ok(m[0])]
         raw += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text, a, z)]
-        raw += [(m.start(), m.end(), "card", digits(m[0])) for m in _CARD.finditer(text, a, z)]
+        raw += [(m.start(1), m.end(1), "card", digits(m[1])) for m in _CARD.finditer(text, a, z)]
         raw += [(m.start(), m.end(), "ssn", digits(m[0])) for m in _SSN.finditer(text, a, z)]
-        raw += [(m.start(), m.end(), "phone", digits(m[0])[-10:]) for m in _PHONE.finditer(text, a, z) if 8 <= len(digits(m[0])) <= 15]
+        raw += [(m.start(1), m.end(1), "phone", digits(m[1])[-10:]) for m in _PHONE.finditer(text, a, z) if 8 <= len(digits(m[1])) <= 15]
     names = [(m, kind) for m in _NAME.finditer(text) if (kind := KIND_OF.get(m[1].casefold()))]
     given = {m.start(1) for m, _ in names}
     for m, kind in names:
@@ -114,9 +120,10 @@ def mentions(text: str | None) -> list[Mention]:
             raw.append((m.start(i), m.end(i), "name", f"surname:{script(m[i])}:{gender}:{stem(m[i], gender)}"))
     out: list[Mention] = []
     for x in sorted(set(raw), key=lambda x: (TYPES.index(x[2]), x[0], -x[1], x[3])):
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
-            out.append(x)
-    return sorted(out)
+        i = bisect(out, x)
+        if (i == 0 or out[i - 1][1] <= x[0]) and (i == len(out) or x[1] <= out[i][0]):
+            out.insert(i, x)
+    return out
 
 
 def stem(surname: str, gender: str) -> str:

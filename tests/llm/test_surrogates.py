@@ -94,3 +94,22 @@ def test_capitalised_words_before_names_hide_none(text):
     words = [w for w in re.findall(r"\w+", text) if len(w) > 1 and w not in sg._TITLES and w not in ("Contact", "Dear", "President", "Yesterday")]
     assert [text[a:z] for a, z, k, _ in sg.mentions(text) if k == "name"] == words
     assert not any(w in sg.rewrite(text, KEY)[0] for w in words)
+
+
+@pytest.mark.parametrize(
+    "kind, entities",
+    [
+        ("phone", [f"415-555-26{i}" for i in range(71, 80)]), ("phone", [f"(415) 555-26{i}" for i in range(71, 80)]), ("phone", [f"+1 212-555-01{i}" for i in range(71, 80)]),
+        ("ip", [f"10.20.30.{i}" for i in range(1, 11)]), ("ssn", [f"078-05-11{i}" for i in range(20, 30)]), ("card", ["4111 1111 1111 1111", "5500 0000 0000 0004"] * 5), ("iban", ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00"] * 5),
+    ],
+)
+def test_lists_on_one_line_are_found_whole(kind, entities):
+    text = " ".join(entities)
+    assert [(text[a:z], k) for a, z, k, _ in sg.mentions(text)] == [(e, kind) for e in entities]
+
+
+def test_numbers_of_several_types_on_one_line():
+    row = ["078-05-1120", "415-555-2671", "10.20.30.40", "ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111", "(415) 555-2672"] * 4
+    text = " ".join(row)
+    assert [text[a:z] for a, z, _, _ in sg.mentions(text)] == row
+    assert len(sg.mentions("415-555-2671 " * 20_000)) == 20_000
