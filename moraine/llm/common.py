@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,11 +76,52 @@ def batches(*columns: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[pa.Ar
         start = end
 
 
+#: What a character beyond ASCII is: a break between words, part of one, or a word by itself.
+_BREAK, _PART, _ALONE = 0, 1, 2
+#: Scripts without spaces between words, and kana.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x3100, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of each code point: punctuation, spaces, controls and signs break; letters, digits and marks are parts; letters of scripts without spaces, and pictographs, stand alone."""
+    out = np.full(0x110000, _PART, np.uint8)
+    for first, last in _UNSPACED:
+        out[first : last + 1] = _ALONE
+    for c in (*range(128, 0x20000), *range(0xE0000, 0xE0200)):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PZ" or kind in ("Cc", "Sm", "Sc", "Sk") or c in (0x200B, 0x2060, 0xFEFF):
+            out[c] = _BREAK
+        elif kind == "So":
+            out[c] = _ALONE
+    return out
+
+
+def _beyond_ascii(data: np.ndarray, word: np.ndarray, cut: np.ndarray) -> None:
+    """Sets word and cut, both by byte, for the characters beyond ASCII."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    code = data[lead].astype(np.int64) & (0x7F >> size)
+    for j in range(1, 4):
+        more = size > j
+        code[more] = code[more] << 6 | (data[lead[more] + j] & 0x3F)
+    kind = _classes()[np.minimum(code, 0x10FFFF)]
+    off = kind == _BREAK
+    for j in range(4):
+        word[lead[off & (size > j)] + j] = False
+    alone = kind == _ALONE
+    cut[lead[alone]] = True
+    cut[lead[alone] + size[alone]] = True
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and where each text's words begin (one more than there are texts).
 
-    Words are runs of letters, digits, underscores and any characters beyond ASCII. Texts are to be in
-    lower case already. A null text has no words. The hash is a polynomial of the bytes modulo 2**64,
+    Words are runs of letters, digits, marks and underscores; each letter of a script without spaces (ideographs,
+    kana, Thai and others) and each pictograph is a word, and Unicode punctuation, spaces and signs break words
+    as ASCII's do. Texts are to be in lower case already. A null text has no words. The hash is a polynomial of the bytes modulo 2**64,
     taken as a difference of running sums, so no word is visited in Python.
     """
     data, at = _buffers(texts)
@@ -90,6 +133,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word[:n] = _WORD[data]
     cut = np.zeros(n + 1, bool)
     cut[at] = True
+    _beyond_ascii(data, word, cut)
     before = np.zeros(n + 1, bool)
     before[1:] = word[:-1]
     starts = np.flatnonzero(word & (~before | cut))

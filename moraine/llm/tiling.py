@@ -11,8 +11,9 @@ doesn't matter, so passages whose sentences were moved about are caught as well.
   length, follow from its seeds, and the texts aren't read again.
 * Pairs that can't reach the threshold are left out before tiling: tiles of c words hold c / min_match seeds at least.
 
-Defined cases: null and empty texts, and items of fewer than min_match words, have no seeds: such documents are
-clean, such items match nothing. Of matches of one length the first in the item, then in the document, is marked
+Defined cases: items of fewer than min_match words are one seed of all their words, so a document that has them in a
+row has a tile of the whole item. Texts without words have no seeds: such documents are clean, such items match
+nothing. Of matches of one length the first in the item, then in the document, is marked
 first. Rows that repeat are judged alike; a pair of a document and an item is listed once for each distinct
 text of that doc_id. An item_id with several texts counts for each of them by itself. Empty tables give an empty
 result. Further columns pass through; internal names give way to the table's own.
@@ -21,7 +22,7 @@ result. Further columns pass through; internal names give way to the table's own
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,11 @@ from moraine.session import checkpointed
 FILTER_SEEDS = 4_000_000
 
 
-def seeds(docs: DataFrame, key: str, text: str, k: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """key, at (word), seed and words (of the whole text), for every k words of each text; only seeds in wanted (sorted), if that is given."""
+def seeds(docs: DataFrame, key: str, text: str, k: int, wanted: np.ndarray | None = None, shorter: Iterable[int] = (), whole: bool = False) -> DataFrame:
+    """key, at (word), seed and words (of the whole text), for every k words of each text; only seeds in wanted (sorted), if that is given.
+
+    Seeds of the lengths in shorter come besides; with whole, only those that are all words of a text.
+    """
     kind = docs.schema[key].dataType.simpleString()
     shared = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -45,13 +49,17 @@ def seeds(docs: DataFrame, key: str, text: str, k: int, wanted: np.ndarray | Non
         for part in parts:
             for own, keys in batches(part.column(1), part.column(0)):
                 h, ptr = word_hashes(own)
-                g = gram_hashes(h, k)
-                doc = np.repeat(np.arange(len(own)), np.diff(ptr))[: len(g)]
-                use = np.arange(len(g)) + k <= ptr[doc + 1]
-                if known is not None:
-                    use &= known[np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))] == g if len(known) else False
-                i = np.flatnonzero(use)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[i])), pa.array((i - ptr[doc[i]]).astype(np.int32)), pa.array(g[i].view(np.int64)), pa.array(np.diff(ptr)[doc[i]].astype(np.int32))], names=["key", "at", "seed", "words"])
+                of = np.repeat(np.arange(len(own)), np.diff(ptr))
+                for n in (k, *shorter):
+                    g = gram_hashes(h, n)
+                    doc = of[: len(g)]
+                    use = np.arange(len(g)) + n <= ptr[doc + 1]
+                    if whole and n != k:
+                        use &= np.diff(ptr)[doc] == n
+                    if known is not None:
+                        use &= known[np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))] == g if len(known) else False
+                    i = np.flatnonzero(use)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc[i])), pa.array((i - ptr[doc[i]]).astype(np.int32)), pa.array(g[i].view(np.int64)), pa.array(np.diff(ptr)[doc[i]].astype(np.int32))], names=["key", "at", "seed", "words"])
 
     return map_texts(docs.select(F.col(key).alias("key"), F.lower(text).alias("text")), run, f"key {kind}, at int, seed long, words int")
 
@@ -88,12 +96,13 @@ def tiled(docs: DataFrame, items: DataFrame, *, min_match: int = 4, threshold: f
     k = min_match
     bench = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     bench = bench.withColumn("item_key", row_key("item", "text"))
-    bench = checkpointed(seeds(bench.select("item_key", "text"), "item_key", "text", k).join(bench.select(F.col("item_key").alias("key"), "item"), "key"))
+    bench = checkpointed(seeds(bench.select("item_key", "text"), "item_key", "text", k, None, range(1, k), True).join(bench.select(F.col("item_key").alias("key"), "item"), "key"))
+    shorter = sorted(r.words for r in bench.where(F.col("words") < k).select("words").distinct().collect())
     wanted = None
     if bench.count() <= filter_seeds:
         wanted = np.unique(np.array(bench.select("seed").distinct().toPandas()["seed"], np.int64).view(np.uint64))
     keyed = docs.select(F.struct(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc")).alias("row"), F.col(text_col).alias("text"))
-    mine = seeds(keyed, "row", "text", k, wanted).select(F.col("key.key").alias("key"), F.col("key.doc").alias("doc"), F.col("at"), "seed")
+    mine = seeds(keyed, "row", "text", k, wanted, shorter).select(F.col("key.key").alias("key"), F.col("key.doc").alias("doc"), F.col("at"), "seed")
     # a row that repeats must not double its seeds
     mine = mine.groupBy("key", "at", "seed").agg(F.first("doc").alias("doc"))
     met = mine.join(bench.select(F.col("key").alias("item_key"), "item", F.col("at").alias("item_at"), "seed", "words"), "seed")
@@ -103,7 +112,7 @@ def tiled(docs: DataFrame, items: DataFrame, *, min_match: int = 4, threshold: f
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [tile(np.array(a.as_py()), np.array(i.as_py()), k) for a, i in zip(part.column(4), part.column(5))]
+            found = [tile(np.array(a.as_py()), np.array(i.as_py()), min(k, n)) for n, a, i in zip(part.column(3).to_pylist(), part.column(4), part.column(5))]
             covered = np.array([sum(t[0] for t in f) for f in found], float) / np.maximum(part.column(3).to_numpy(), 1)
             keep = pa.array(covered >= threshold)
             out = [*part.columns[:3], pa.array(np.round(covered, 6)), pa.array([len(f) for f in found], pa.int32()), pa.array([max((t[0] for t in f), default=0) for f in found], pa.int32())]

@@ -110,3 +110,9 @@ def test_allocation_is_the_least_by_trial():
     every = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if a + b + c == 0]
     cost = lambda t: sum(c[x + 1] for c, x in zip(counts, t))
     assert sum(best) == 0 and cost(best) == min(map(cost, every))
+
+
+def test_near_copies_in_scripts_without_spaces():
+    text = "".join(chr(0x4E00 + (i * 7919) % 3000) + ("，" if i % 9 == 8 else "") for i in range(300))
+    f, has = simhash.fingerprints(pa.array([text, text[:100] + "新" + text[101:]]))
+    assert has.all() and sum(int(x).bit_count() for x in f[0] ^ f[1]) <= 20

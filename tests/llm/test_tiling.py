@@ -98,3 +98,13 @@ def test_bad_rows(spark):
     assert len(twice) == 2
     assert tiling.decontaminated(docs.limit(0), bench).count() == 0
     assert tiling.decontaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_scripts_without_spaces_and_short_items(spark):
+    question = "水的沸点是多少摄氏度？在标准大气压下，答案是一百度。"
+    docs = [(1, f"前言：{question}结束"), (2, "今天天气很好。我们去公园散步，然后回家吃饭。"), (3, "the Capital of\u00a0France, is"), (4, "capital france of"), (5, "café—au lait")]
+    bench = [(0, question), (1, "capital of France"), (2, "lait"), (3, "。？")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (tiling.FILTER_SEEDS, 0):
+        found = got(tiling.contaminated(df, items(spark, bench), filter_seeds=limit))
+        assert {k: v[0] for k, v in found.items()} == {(1, 0): 1.0, (3, 1): 1.0, (5, 2): 1.0}
