@@ -16,6 +16,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOT_CONTENT = frozenset("aside button canvas footer form header iframe input meta nav noscript option script select style svg template video".split())
 NOT_TEXT = frozenset("iframe noscript script style svg template".split())
 TEXT_TAGS = ("blockquote", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "td", "th")
+INLINE = frozenset("a abbr b br code em i kbd mark q s small span strong sub sup u".split())
 UNWANTED = re.compile(r"ads|advert|banner|breadcrumb|comment|cookie|footer|header|menu|nav|popup|related|share|sidebar|social|widget", re.I)
 CONTENT_CLASS = re.compile(r"\b(article|content|entry-content|main-content|page-content|post|post-content)\b", re.I)
 
@@ -159,18 +160,28 @@ def faq_pairs(page: str | None) -> list[tuple[str, str]]:
     return good(pairs)
 
 
+def accordion(root: Element) -> list[tuple[str, str]]:
+    """Questions and answers of the items of Bootstrap accordions."""
+    having = lambda e, *names: [x for x in e.walk() if x is not e and not {*names}.isdisjoint(x.attrs.get("class", "").split())]
+    out = []
+    for item in having(root, "accordion-item"):
+        q, a = having(item, "accordion-button", "accordion-header"), having(item, "accordion-body")
+        if q and a and q[0].text() and a[0].text():
+            out.append((q[0].text(), a[0].text()))
+    return out
+
+
 def page_blocks(page: str | None) -> list[Block]:
-    """Headings with their path, table rows under their header, and text blocks."""
-    if details := [e for e in tree(page).walk() if e.tag == "details"]:
-        pairs = faq_pairs(page)
-        if pairs and len(pairs) >= len(details):
-            return [Block(f"{q}\n{a}", heading=q, path=[q], kind="faq", order=i) for i, (q, a) in enumerate(pairs)]
+    """Headings with their path, table headers and rows under their header, and text blocks; of a page with an accordion, its items alone."""
+    root = tree(page)
+    if items := accordion(root):
+        return [Block(f"Pertanyaan: {q}\nJawaban: {a}", 1, "faq_item", None, "FAQ", ["FAQ"], "faq", None, i) for i, (q, a) in enumerate(items)]
     out: list[Block] = []
     path: list[str] = []
 
     def add(text: str, kind: str, level: int | None = None) -> None:
         if text:
-            out.append(Block(text, 1, kind, level, path[-1] if path else "", list(path), "table" if kind == "table_row" else "narrative", None, len(out)))
+            out.append(Block(text, 1, kind, level, path[-1] if path else "", list(path), "table" if kind in ("table_row", "sheet_header") else "narrative", None, len(out)))
 
     def visit(e: Element) -> None:
         nonlocal path
@@ -183,8 +194,21 @@ def page_blocks(page: str | None) -> list[Block]:
         elif e.tag == "table":
             lines = [[c.text() for c in r.children if isinstance(c, Element) and c.tag in ("td", "th")] for r in e.walk() if r.tag == "tr"]
             lines = [" | ".join(x) for x in lines if any(x)]
+            add(lines[0] if lines else "", "sheet_header")
             for x in lines[1:]:
                 add(f"{lines[0]}\n{x}", "table_row")
+        elif e.tag == "details":
+            loose: list[str] = []
+            for c in [*e.children, None]:
+                if isinstance(c, str) or (c is not None and c.tag in INLINE):
+                    loose.append(c if isinstance(c, str) else c.text())
+                    continue
+                add(squeeze(" ".join(loose)), "paragraph")
+                loose = []
+                if c is not None:
+                    visit(c)
+        elif e.tag == "summary" and not any(re.fullmatch("h[1-6]", x.tag) for x in e.walk()):
+            add(e.text(), "paragraph")
         elif e.tag in TEXT_TAGS:
             add(e.text(), "list_item" if e.tag == "li" else "paragraph")
         elif e.tag == "div" and not any(isinstance(c, Element) and (c.tag in TEXT_TAGS or c.tag in ("div", "table", "ul", "ol", "section", "article")) for c in e.children):
@@ -195,7 +219,7 @@ def page_blocks(page: str | None) -> list[Block]:
                 if isinstance(c, Element):
                     visit(c)
 
-    visit(tree(page))
+    visit(root)
     return out
 
 

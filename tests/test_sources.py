@@ -83,3 +83,12 @@ def test_page():
 ])
 def test_questions(markup):
     assert html.faq_pairs(f"<body>{markup}<dl><dt>short</dt><dd>no</dd></dl></body>") == [("How do I renew it?", "Bring the old card and a form.")]
+
+
+def test_blocks_of_pages_with_details_accordions_and_tables():
+    page = "<body><h1>Guide</h1><p>Long text.</p><details><summary>How do I renew it?</summary>Bring the <b>old</b> card. <p>And a form.</p></details><p>More.</p><table><tr><th>Alone</th></tr></table></body>"
+    got = [(b.kind, b.text) for b in html.page_blocks(page)]
+    assert got == [("heading", "Guide"), ("paragraph", "Long text."), ("paragraph", "How do I renew it?"), ("paragraph", "Bring the old card."), ("paragraph", "And a form."), ("paragraph", "More."), ("sheet_header", "Alone")]
+    item = '<div class="accordion-item"><h2 class="accordion-header"><button class="accordion-button">Q{0}?</button></h2><div class="accordion-body">A{0}.</div></div>'
+    got = [(b.kind, b.text, b.path, b.source) for b in html.page_blocks(f"<div class=accordion>{item.format(1)}{item.format(2)}</div><p>other</p>")]
+    assert got == [("faq_item", f"Pertanyaan: Q{i}?\nJawaban: A{i}.", ["FAQ"], "faq") for i in (1, 2)]
