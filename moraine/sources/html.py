@@ -20,6 +20,8 @@ INLINE = frozenset("a abbr b br code em i kbd mark q s small span strong sub sup
 UNWANTED = re.compile(r"ads|advert|banner|breadcrumb|comment|cookie|footer|header|menu|nav|popup|related|share|sidebar|social|widget", re.I)
 CONTENT_CLASS = re.compile(r"\b(article|content|entry-content|main-content|page-content|post|post-content)\b", re.I)
 
+FAQ_CLASS = re.compile(r"faq|accordion|qa|tanya.?jawab|question|jawaban|pertanyaan", re.I)
+
 
 class Element:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -108,15 +110,17 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(blocks) if blocks else part.text()
 
 
-def selected(page: str | None, selector: str) -> str:
-    """Texts of what a simple selector names (tag, .class, #id, tag.class, tag#id); too little falls back to main_text()."""
+def matching(root: Element, selector: str) -> list[Element]:
+    """What a simple selector names (tag, .class, #id, tag.class, tag#id)."""
     m = re.fullmatch(r"(\w*)([.#]?)([\w-]*)", selector.strip())
-    got = []
-    if m:
-        for e in tree(page).walk():
-            if (not m[1] or e.tag == m[1].lower()) and (not m[2] or (m[3] in e.attrs.get("class", "").split() if m[2] == "." else e.attrs.get("id") == m[3])):
-                got.append(e.text())
-    text = "\n\n".join(filter(None, got))
+    if not m:
+        return []
+    return [e for e in root.walk() if (not m[1] or e.tag == m[1].lower()) and (not m[2] or (m[3] in e.attrs.get("class", "").split() if m[2] == "." else e.attrs.get("id") == m[3]))]
+
+
+def selected(page: str | None, selector: str) -> str:
+    """Texts of what a simple selector names; too little falls back to main_text()."""
+    text = "\n\n".join(filter(None, (e.text() for e in matching(tree(page), selector))))
     return text if len(text) >= 100 else main_text(page)
 
 
@@ -128,19 +132,30 @@ def title(page: str | None) -> str:
     return squeeze(meta) or (h.text() if (h := first(root, "h1")) is not None else "")
 
 
-def faq_pairs(page: str | None) -> list[tuple[str, str]]:
-    """Questions of 10 characters and answers of 20 at least: from the first of dl, details and headings with paragraphs that gives any."""
+def _answered(elements: list[Element], asks, answers) -> list[tuple[str, str]]:
+    """Each element that asks, with the texts of those right after it that answer."""
+    pairs, i = [], 0
+    while i < len(elements):
+        q, i = elements[i], i + 1
+        if asks(q):
+            parts = []
+            while i < len(elements) and answers(elements[i]):
+                parts.append(elements[i].text())
+                i += 1
+            pairs.append((q.text(), "\n".join(filter(None, parts))))
+    return pairs
+
+
+def faq_pairs(page: str | None, question: str | None = None, answer: str | None = None) -> list[tuple[str, str]]:
+    """Questions of 10 characters and answers of 20 at least: from the first that gives any of the selectors for both (if given), dl, details, FAQ containers, and headings with paragraphs."""
     root = tree(page)
     good = lambda pairs: [(q, a) for q, a in pairs if len(q) >= 10 and len(a) >= 20]
+    parts = lambda e: [c for c in e.children if isinstance(c, Element)]
+    if question and answer and (got := good((q.text(), a.text()) for q, a in zip(matching(root, question), matching(root, answer)))):
+        return got
     names: list[tuple[str, str]] = []
     for dl in (e for e in root.walk() if e.tag == "dl"):
-        q = ""
-        for c in dl.children:
-            if isinstance(c, Element) and c.tag == "dt":
-                q = c.text()
-            elif isinstance(c, Element) and c.tag == "dd" and q:
-                names.append((q, c.text()))
-                q = ""
+        names += _answered([c for c in parts(dl) if c.tag in ("dt", "dd")], lambda e: e.tag == "dt", lambda e: e.tag == "dd")
     if got := good(names):
         return got
     details = []
@@ -150,14 +165,27 @@ def faq_pairs(page: str | None) -> list[tuple[str, str]]:
             details.append((s.text(), squeeze(d.text().removeprefix(s.text()))))
     if got := good(details):
         return got
-    asked, pairs = "", []
-    for e in root.walk():
-        if e.tag in ("h2", "h3", "h4", "h5"):
-            asked = e.text()
-        elif e.tag == "p" and asked.endswith("?"):
-            pairs.append((asked, e.text()))
-            asked = ""
-    return good(pairs)
+    named = [e for e in root.walk() if FAQ_CLASS.search(e.attrs.get("class", "")) or FAQ_CLASS.search(e.attrs.get("id", ""))]
+    outer = set()
+    for e in named:
+        up = e.parent
+        while up is not None and id(up) not in outer:
+            outer.add(id(up))
+            up = up.parent
+    heads = ("h3", "h4", "h5", "h6", "strong", "b")
+    held: list[tuple[str, str]] = []
+    for e in named:
+        if id(e) not in outer:
+            held += _answered(parts(e), lambda c: c.tag in heads and len(c.text()) >= 10, lambda c: c.tag not in heads)
+    if got := good(held):
+        return got
+    part = first(root, "article") or first(root, "main") or next((e for e in root.walk() if e.tag == "div" and re.search("content|article|post", e.attrs.get("class", ""), re.I)), None) or first(root, "body") or root
+    near = [e for e in parts(part) if e.tag in ("h3", "h4", "p")] or [e for e in part.walk() if e.tag in ("h3", "h4", "p")]
+    if got := good(_answered(near, lambda e: e.tag in ("h3", "h4") and len(e.text()) >= 10, lambda e: e.tag == "p")):
+        return got
+    # beyond the reference: headings of other levels that ask
+    levels = ("h2", "h3", "h4", "h5")
+    return good(_answered([e for e in root.walk() if e.tag in (*levels, "p")], lambda e: e.tag in levels and e.text().endswith("?"), lambda e: e.tag == "p"))
 
 
 def accordion(root: Element) -> list[tuple[str, str]]:
@@ -253,8 +281,8 @@ def read_clean(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
     return _table(pages, "page_id long, title string, content string", lambda i, h: [(i, title(h), main_text(h))], id_col, html_col)
 
 
-def read_faq(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    return _table(pages, "page_id long, ordinal int, question string, answer string", lambda i, h: [(i, n, q, a) for n, (q, a) in enumerate(faq_pairs(h))], id_col, html_col)
+def read_faq(pages: DataFrame, question: str | None = None, answer: str | None = None, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    return _table(pages, "page_id long, ordinal int, question string, answer string", lambda i, h: [(i, n, q, a) for n, (q, a) in enumerate(faq_pairs(h, question, answer))], id_col, html_col)
 
 
 def read_chunks(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

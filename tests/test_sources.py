@@ -92,3 +92,13 @@ def test_blocks_of_pages_with_details_accordions_and_tables():
     item = '<div class="accordion-item"><h2 class="accordion-header"><button class="accordion-button">Q{0}?</button></h2><div class="accordion-body">A{0}.</div></div>'
     got = [(b.kind, b.text, b.path, b.source) for b in html.page_blocks(f"<div class=accordion>{item.format(1)}{item.format(2)}</div><p>other</p>")]
     assert got == [("faq_item", f"Pertanyaan: Q{i}?\nJawaban: A{i}.", ["FAQ"], "faq") for i in (1, 2)]
+
+
+def test_faq_answers_are_whole():
+    q, a, b = "How do I renew it", "Bring the old card and a form.", "Then wait for the letter."
+    want = [(q, f"{a}\n{b}")]
+    assert html.faq_pairs(f"<dl><dt>{q}</dt><dd>{a}</dd><dd>{b}</dd></dl>") == want
+    assert html.faq_pairs(f"<body><div class='my-faq'><div class='faq-item'><strong>{q}</strong><p>{a}</p><div>{b}</div></div></div><h3>Another heading</h3><p>{a}</p></body>") == want
+    assert html.faq_pairs(f"<article><h3>{q}</h3><p>{a}</p><p>{b}</p><h4>Too short</h4><p>no</p></article>") == want
+    page = f"<div class=ask>{q}</div><div class=tell>{a}</div><dl><dt>{q}</dt><dd>{b}{b}</dd></dl>"
+    assert html.faq_pairs(page, ".ask", "div.tell") == [(q, a)] and html.faq_pairs(page, ".none", ".tell") == [(q, b + b)]
