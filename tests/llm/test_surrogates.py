@@ -51,25 +51,96 @@ def test_one_entity_has_one_surrogate_in_any_format():
 
 
 @pytest.mark.parametrize("few", [True, False])
-def test_collisions_are_drawn_again(spark, few):
-    # two-digit octets collide often within 10.x.y.z of a small pool
-    made = ["mouse", "house"]
-    rows = [(i, f"host 10.0.{i // 250}.{1 + i % 250} and {m}") for i, m in zip(range(1500), made * 750)]
+def test_collisions_are_drawn_again(spark, few, monkeypatch):
+    monkeypatch.setitem(sg.SYLLABLES, "latin", ["bar", "bel", "cor"])  # a pool of 27 names for 300
+    rows = [(i, f"Mary {'Abcdefghij'[i // 100].upper()}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}x here") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sg.checkpointed(sg.entities(docs))
-    plain = {e: sg.surrogate(KEY, "ip", e) for (_, e) in [(r.type, r.entity) for r in found.collect()]}
-    again = {r.entity: r.nonce for r in sg.redrawn(found, KEY).collect()}
-    final = {e: sg.surrogate(KEY, "ip", e, again.get(e, 0)) for e in plain}
-    assert len(set(final.values())) == len(final) == 1500 and not set(final.values()) & set(plain)
+    found = sg.checkpointed(sg.entities(docs, KEY))
+    assert not {r.who for r in found.collect()} & {t.split()[1].lower() for _, t in rows}  # hashes, not values
+
+    # workers have the list that ships with the package, so the draw is checked against it on the driver
+    again = {r.who: r.nonce for r in sg.redrawn(found, KEY).collect()}
+    monkeypatch.undo()
+    final = {sg.drawn_surname(KEY, "latin", r.who, "", again.get(r.who, 0)) for r in found.collect()}
+    assert len(final) == 300
     got = {r.doc_id: r.text for r in sg.replaced(docs, key=KEY, broadcast_rows=10**6 if few else -1).collect()}
-    want = {i: sg.rewrite(t, KEY, {("ip", e): n for e, n in again.items()})[0] for i, t in rows}
-    assert got == want
+    names = {t.split()[1] for t in got.values()}
+    assert len(names) == 300 and not names & {t.split()[1] for _, t in rows}
+
+
+def test_a_small_pool_ends(spark, monkeypatch):
+    """Surnames that share their draws a few times over get longer ones until none do."""
+    rows = [(i, f"Mary X{i}a") for i in range(40_000)]  # more than 27,000 names of three syllables
+    found = sg.checkpointed(sg.entities(spark.createDataFrame(rows, "doc_id long, text string"), KEY))
+    again = {r.who: r.nonce for r in sg.redrawn(found, KEY).collect()}
+    final = {sg.drawn_surname(KEY, "latin", r.who, "", again.get(r.who, 0)) for r in found.collect()}
+    assert len(final) == found.count() == 40_000 and again
+
+
+def cycle(values: list, step) -> None:
+    """step takes each of the values to another one, and no two to the same."""
+    out = [step(v) for v in values]
+    assert len(set(out)) == len(values) and not any(a == b for a, b in zip(values, out))
+
+
+def test_finite_pools_are_permuted():
+    cycle([f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz\u00e9"], lambda e: sg.surrogate(KEY, "email", e))
+    every = [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]
+    out = {sg.surrogate(KEY, "ip", e) for e in every}
+    assert out == set(every)
+    cycle([f"4{i:03d}" + "0" * 12 for i in range(500)], lambda e: sg.surrogate(KEY, "card", e))
+    cycle([f"{i:09d}" for i in range(300)], lambda e: sg.surrogate(KEY, "ssn", e))
+    cycle([f"ab{i}" for i in range(10)], lambda e: sg.surrogate(KEY, "credential", e))
+    cycle([f"{i:016x}" for i in range(0xA000, 0xA100)], lambda e: sg.surrogate(KEY, "credential", e))
+    assert sg.surrogate(KEY, "credential", "--------") == "--------"
+    for n in (1, 2, 3, 100):
+        assert sorted(sg.permuted(KEY, "x", n, i) for i in range(n)) == list(range(n))
+        assert all(sg.permuted(KEY, "x", n, sg.permuted(KEY, "x", n, i), back=True) == i for i in range(n))
+
+
+@pytest.mark.parametrize(
+    "text, gone",
+    [
+        ("Mary Ann Johnson", "Mary Ann Johnson"), ("Mary Johnson met Bob. Johnson said Mary left.", "Mary Johnson"), ("Priya Sharma and Wei Zhang, José García", "Priya Sharma Wei Zhang José García"),
+        ("Ο Γεώργιος Παπαδόπουλος", "Γεώργιος Παπαδόπουλος"), ("السيد محمود", "محمود"), ("王小明先生", "王小明"), ("श्री शर्मा", "शर्मा"), ("김철수 씨", "김철수"),
+    ],
+)
+def test_names_in_many_scripts(text, gone):
+    out, _ = sg.rewrite(text, KEY)
+    assert not any(w in out for w in gone.split())
+    for old, new in zip(re.findall(r"\w+", text), re.findall(r"\w+", out)):
+        assert sg.script(old) == sg.script(new)
+
+
+def test_country_codes_stay():
+    out, n = sg.rewrite("+65 6123 4567, +852 2345 6789, +1 212-555-0187, (212) 555-0187", KEY)
+    assert n == 4 and re.match(r"\+65 \d{4} \d{4}, \+852 \d{4} \d{4}, \+1 (\d{3})-(\d{3})-(\d{4}), \(\1\) \2-\3$", out) and "6123" not in out
+
+
+def apart(text: str) -> list[str]:
+    """Mentions of the planted kinds by patterns of their own, independent of the operator's."""
+    return re.findall(r"[a-z]+\.[a-z]+@[a-z.]+\b|\b\d{3}-\d{2}-\d{4}\b|\b(?:\d{4} ){3}\d{4}\b", text)
+
+
+def test_planted_values_are_gone_by_other_patterns(spark):
+    d = DATA / "sf0.01/documents.parquet"
+    texts = dict(zip(*(pq.read_table(d)[c].to_pylist() for c in ("doc_id", "text"))))
+    got = {r.doc_id: r.text for r in sg.replaced(spark.read.parquet(str(d)), key=KEY).collect()}
+    pairs: dict[str, set[str]] = {}
+    for i, t in texts.items():
+        old, new = apart(t), apart(got[i])
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            pairs.setdefault(a, set()).add(b)
+            assert a not in got[i]
+    assert pairs and all(len(b) == 1 for b in pairs.values())  # one surrogate for each, in every document
+    assert len({min(b) for b in pairs.values()}) == len(pairs)  # and none for two
 
 
 def test_the_query_against_the_functions(spark):
     d = DATA / "sf0.001/documents.parquet"
     docs = spark.read.parquet(str(d)).select("doc_id", "text")
-    again = {(r.type, r.entity): r.nonce for r in sg.redrawn(sg.checkpointed(sg.entities(docs)), KEY).collect()}
+    again = {r.who: r.nonce for r in sg.redrawn(sg.checkpointed(sg.entities(docs, KEY)), KEY).collect()}
     want = {i: sg.rewrite(t, KEY, again) for i, t in zip(*(pq.read_table(d)[c].to_pylist() for c in ("doc_id", "text")))}
     got = {r.doc_id: (r.text, r.n) for r in sg.replaced(docs, key=KEY, count_col="n").collect()}
     assert got == want and any(n for _, n in want.values())
