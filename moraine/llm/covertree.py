@@ -1,23 +1,26 @@
 """Exact top-k search by cosine similarity with dual-tree cover-tree search.
 
 All vectors are normalised, so the nearest by Euclidean distance are the most similar. Data and queries are indexed
-alike: the points go to the nearest of a set of pivots, and each such cell gets a cover tree (each
-node's points lie within its covering radius, children are further apart than the radius divided by BASE, and
-cover their points with it). A pair of a query node and a data node can't hold a better neighbour if the distance of their
+alike, by cover trees (each node's points lie within its covering radius, children are further apart than the radius divided
+by BASE, and cover their points with it). A pair of a query node and a data node can't hold a better neighbour if the distance of their
 centres less both covering radii exceeds the worst k-th distance among the queries of the node.
 
-* First each cell is searched for its own queries, which bounds their k-th scores.
-* Then pairs of cells are pruned by their radii and the worst bound of the query cell, and those that are left
-  are searched by descending both trees. Leaves are compared as matrices.
-* Each query's best over all cells are taken in Spark.
+* The data is cut into cells by the nearest of a set of pivots, and large cells into parts by hash, so no tree has many more than CELL
+  points, whatever the table holds. Trees are built once and kept in a table.
+* Queries are taken in blocks of bounded bytes. A block has one tree, which is built once and sent to the workers, that hold the
+  data: only queries and results are moved, never the data.
+* A first pass searches each query's own cell and one tree in SAMPLE of the others; what it finds bounds each query's k-th score.
+* A second pass descends the block's tree and each data tree with these bounds. Only points that reach a query's bound leave
+  the workers, and Spark keeps each query's best. Leaves are compared as matrices.
 
-Pruning never loses a neighbour, so the result is exact; where distances concentrate, as in many dimensions, it prunes
-less and more pairs are computed. A node whose children would be nearly as many as its points is a leaf, of any size.
+Pruning never loses a neighbour, so the result is exact; where distances concentrate, as for uniform vectors in many dimensions, it prunes
+nothing, and all points are compared with all queries. A node whose children would be nearly as many as its points is a leaf.
 
 Defined cases: scores are rounded to 6 digits; equal scores go by the lowest id. Null ids, null, empty and zero vectors,
 vectors with null or not finite numbers, and of a length other than the most frequent one (of equals the least) have no
 neighbours and are none. Of rows that share an id the one with the lowest vector counts. A row is no neighbour of itself. With
-fewer than k others, all are listed. An empty table gives an empty result. Further columns are left out.
+fewer than k others, all are listed. An empty table gives an empty result. Further columns are left out; if the id's column
+has a result's name (neighbor_id, score, rank), the result's gets underscores at its end.
 """
 
 from __future__ import annotations
@@ -26,16 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moraine.llm.common import fresh
 from moraine.session import checkpointed
 
 BASE = 1.3
 LEAF = 64
 CELL = 2048
-#: Most cells; their centres and radii go to all workers (10 MB at 64 dimensions). Cells grow beyond.
-CELLS = 20_000
+#: Most pivots; they go to all workers (2 MB at 64 dimensions). Cells beyond that grow, and are cut into more parts.
+PIVOTS = 4096
+#: Bytes of the queries of a block.
+BLOCK_BYTES = 32 << 20
+#: One data tree in so many is searched for all queries before the rest is.
+SAMPLE = 64
 #: Entries of a matrix of scores that is computed at once.
 BLOCK = 1 << 20
 SCALE = 1e6
@@ -155,18 +163,45 @@ def points(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
     return own.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), dim
 
 
-def top_k(vectors: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, neighbor_id, score and rank of the k most similar others of every row."""
-    spark = vectors.sparkSession
-    kind = vectors.schema[id_col].dataType
-    result = lambda df: df.select(F.col("id").cast(kind).alias(id_col), F.col("neighbor").cast(kind).alias("neighbor_id"), (F.col("key") / SCALE).alias("score"), F.col("rank").cast("int").alias("rank"))
-    own, dim = points(vectors, id_col, vector_col)
-    if not dim:
-        return result(spark.createDataFrame([], "id long, neighbor long, key long, rank int"))
-    own = checkpointed(own)
+class Tree:
+    """A cover tree as arrays, to be kept in a table or sent: the points in its order, and its nodes in the order of a walk."""
+
+    @staticmethod
+    def dump(root: Node) -> tuple[bytes, bytes, bytes]:
+        """Centres, radii, and start, end and number of children of each node, parents first."""
+        nodes, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            nodes.append(n)
+            todo += reversed(n.children)
+        return np.array([n.center for n in nodes]).tobytes(), np.array([n.radius for n in nodes]).tobytes(), np.array([(n.start, n.end, len(n.children)) for n in nodes], np.int64).tobytes()
+
+    @staticmethod
+    def load(centers: bytes, radii: bytes, shape: bytes, dim: int) -> Node:
+        c, r, s = np.frombuffer(centers).reshape(-1, dim), np.frombuffer(radii), np.frombuffer(shape, np.int64).reshape(-1, 3)
+        stack: list[tuple[Node, int]] = []
+        root = None
+        for center, radius, (start, end, n) in zip(c, r, s):
+            node = Node(center, float(radius), int(start), int(end), [])
+            while stack and len(stack[-1][0].children) == stack[-1][1]:
+                stack.pop()
+            if stack:
+                stack[-1][0].children.append(node)
+            else:
+                root = node
+            stack.append((node, int(n)))
+        return root
+
+
+_TREE = "cell int, ids binary, x binary, centers binary, radii binary, shape binary"
+
+
+def indexed(own: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
+    """The data trees, one a row (cell, ids, x and the nodes), and the pivots; own: points(), materialised."""
+    spark = own.sparkSession
     n = own.count()
-    cells = min(CELLS, -(-n // CELL))
-    pivots = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(cells).collect()])
+    wanted = min(PIVOTS, max(1, -(-n // CELL)))
+    pivots = np.array([r.v for r in own.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()])
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -176,73 +211,101 @@ def top_k(vectors: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col
             cell = (x @ shared.value.T).argmax(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["cell", "id", "v"])
 
+    assigned = checkpointed(own.mapInArrow(assign, "cell int, id long, v binary"))
+    # a row for each cell, PIVOTS at most
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n")).select(F.col("cell").alias("c"), F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    cut = assigned.join(F.broadcast(sizes), F.col("cell") == F.col("c")).select("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "v")
+
     def index(table: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(table["v"].to_pylist())).reshape(-1, dim)
         ids = table["id"].to_numpy()
         by = np.argsort(ids)  # the tree doesn't depend on the order in which rows came
         order, root = build(x[by])
-        x, ids = x[by][order], ids[by][order]
-        best = Best(len(x), k)
-        search(x, ids, root, x, ids, root, best)
-        row = [[table["cell"][0].as_py()], [ids.tobytes()], [x.tobytes()], [best.key[:, -1].tobytes()], [root.center.tobytes()], [root.radius], [min(best.worst(0, len(x)), 9.0)], [best.key.tobytes()], [best.id.tobytes()]]
-        return pa.table({c: pa.array(v, t) for (c, t), v in zip(layout, row)})
-
-    binary = pa.binary()
-    layout = [("cell", pa.int32()), ("ids", binary), ("x", binary), ("bound", binary), ("center", binary), ("radius", pa.float64()), ("worst", pa.float64()), ("keys", binary), ("found", binary)]
-    assigned = own.mapInArrow(assign, "cell int, id long, v binary")
-    trees = checkpointed(assigned.groupBy("cell").applyInArrow(index, "cell int, ids binary, x binary, bound binary, center binary, radius double, worst double, keys binary, found binary"))
-
-    def rows(ids: np.ndarray, best: Best) -> pa.RecordBatch:
-        use = (best.id != np.iinfo(np.int64).max).ravel()
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[use]), pa.array(best.id.ravel()[use]), pa.array(best.key.ravel()[use])], names=["id", "neighbor", "key"])
-
-    def inside(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for ids, keys, found in zip(*(c.to_pylist() for c in part.columns)):
-                ids = np.frombuffer(ids, np.int64)
-                best = Best(0, k)
-                best.key, best.id = (np.frombuffer(b, np.int64).reshape(-1, k) for b in (keys, found))
-                yield rows(ids, best)
-
-    # of all pairs of cells those that pruning leaves; one row of a few hundred bytes for each cell, at most CELLS
-    summary = trees.select("cell", "center", "radius", "worst").collect()
-    every = spark.sparkContext.broadcast((np.array([r.cell for r in summary]), np.array([np.frombuffer(r.center) for r in summary]), np.array([r.radius for r in summary])))
-
-    def partners(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, center, radius = every.value
-        for part in parts:
-            for q, c, r, w in zip(*(x.to_pylist() for x in part.columns)):
-                use = (distances(center, np.frombuffer(c)) - r - radius <= w) & (cell != q)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(use.sum(), q, np.int32)), pa.array(cell[use].astype(np.int32))], names=["q", "r"])
+        row = [table["cell"][0].as_py(), ids[by][order].tobytes(), x[by][order].tobytes(), *Tree.dump(root)]
+        return pa.table({c: pa.array([v], t) for c, v, t in zip("cell ids x centers radii shape".split(), row, [pa.int32()] + [pa.binary()] * 5)})
+
+    return checkpointed(cut.groupBy("cell", "part").applyInArrow(index, _TREE)), pivots
+
 
-    def pair(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None, None)
+def _found(block: tuple, k: int, best: Best) -> pa.RecordBatch:
+    """The rows that were found: id, neighbor and key."""
+    use = (best.id != np.iinfo(np.int64).max).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(block[0], k)[use]), pa.array(best.id.ravel()[use]), pa.array(best.key.ravel()[use])], names=["id", "neighbor", "key"])
+
+
+def _searched(trees: DataFrame, block: tuple, k: int, dim: int, first: bool) -> DataFrame:
+    """id, neighbor and key of each query's best in each partition of trees; block: ids, vectors, tree, own cells and bounds of the queries, in the tree's order."""
+    shared = trees.sparkSession.sparkContext.broadcast(block)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, qx, tree, cells, bounds = shared.value
+        root = Tree.load(*tree, dim)
+        best = Best(len(qids), k)
+        if bounds is not None:
+            best.key[:] = bounds[:, None]
         for part in parts:
-            for q, qids, qx, bound, rids, rx in zip(*(c.to_pylist() for c in part.columns)):
-                if last[0] != q:
-                    x = np.frombuffer(qx).reshape(-1, dim)
-                    last = (q, x, build(x), np.frombuffer(qids, np.int64))
-                _, x, (order, root), ids = last
-                y, others = np.frombuffer(rx).reshape(-1, dim), np.frombuffer(rids, np.int64)
-                yorder, yroot = build(y)
-                best = Best(len(x), k)
-                best.key[:] = np.frombuffer(bound, np.int64)[order][:, None]  # a neighbour must be as good as the k-th of the own cell
-                search(x[order], ids[order], root, y[yorder], others[yorder], yroot, best)
-                yield rows(ids[order], best)
-
-    blocks = trees.select(F.col("cell").alias("q"), F.col("ids").alias("qids"), F.col("x").alias("qx"), "bound")
-    others = trees.select(F.col("cell").alias("r"), F.col("ids").alias("rids"), F.col("x").alias("rx"))
-    met = trees.select("cell", "center", "radius", "worst").mapInArrow(partners, "q int, r int").join(others, "r").join(blocks, "q")
-    far = met.select("q", "qids", "qx", "bound", "rids", "rx").mapInArrow(pair, "id long, neighbor long, key long")
-    near = trees.select("ids", "keys", "found").mapInArrow(inside, "id long, neighbor long, key long")
+            for cell, ids, x, *nodes in zip(*(c.to_pylist() for c in part.columns)):
+                ids, x = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, dim)
+                if first and int(ids[0]) % SAMPLE:  # for the queries of this cell only
+                    mine = np.flatnonzero(cells == cell)
+                    if len(mine):
+                        own = Best(len(mine), k)
+                        own.key, own.id = best.key[mine], best.id[mine]
+                        for a in range(0, len(mine), step := max(1, BLOCK // len(x))):
+                            own.add(a, np.rint((qx[mine[a : a + step]] @ x.T) * SCALE).astype(np.int64), ids, qids[mine[a : a + step]])
+                        best.key[mine], best.id[mine] = own.key, own.id
+                else:
+                    search(qx, qids, root, x, ids, Tree.load(*nodes, dim), best)
+        yield _found(shared.value, k, best)
+
+    rows = trees.mapInArrow(run, "id long, neighbor long, key long")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("key"), "neighbor"))
-    return result(near.union(far).withColumn("rank", rank).where(F.col("rank") <= k))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k_sql(k: int = 10) -> str:
+def top_k(vectors: DataFrame, k: int = 10, *, queries: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, neighbor_id, score and rank of the k most similar others of every row; queries: of those rows only, by a condition on the id's column."""
+    spark = vectors.sparkSession
+    kind = vectors.schema[id_col].dataType
+    names = fresh(vectors.select(id_col), "neighbor_id", "score", "rank")
+    result = lambda df: df.select(F.col("id").cast(kind).alias(id_col), F.col("neighbor").cast(kind).alias(names[0]), (F.col("key") / SCALE).alias(names[1]), F.col("rank").cast("int").alias(names[2]))
+    empty = result(spark.createDataFrame([], "id long, neighbor long, key long, rank int"))
+    own, dim = points(vectors, id_col, vector_col)
+    if not dim:
+        return empty
+    own = checkpointed(own)
+    asked = own if queries is None else own.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id")
+    n = asked.count()
+    if not n:
+        return empty
+    trees, pivots = indexed(own, dim)
+    blocks = -(-n * dim * 8 // BLOCK_BYTES)
+    out = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow()  # BLOCK_BYTES, about
+        if not len(rows):
+            continue
+        ids, x = rows["id"].to_numpy(), _vectors(rows["v"].combine_chunks(), dim)
+        by = np.argsort(ids)
+        ids, x = ids[by], x[by]
+        order, root = build(x)
+        ids, x = ids[order], x[order]
+        cells = np.concatenate([(x[a : a + 4096] @ pivots.T).argmax(1) for a in range(0, len(x), 4096)])
+        block = (ids, x, Tree.dump(root), cells)
+        near = _searched(trees, (*block, None), k, dim, True).where(F.col("rank") == k).select("id", "key").toArrow()
+        bounds = np.full(len(ids), NONE)
+        at = np.argsort(ids)
+        bounds[at[np.searchsorted(ids[at], near["id"].to_numpy())]] = near["key"].to_numpy()
+        part = checkpointed(_searched(trees, (*block, bounds), k, dim, False)) if blocks > 1 else _searched(trees, (*block, bounds), k, dim, False)
+        out = part if out is None else out.union(part)
+    return result(out)
+
+
+def top_k_sql(k: int = 10, every: int = 20) -> str:
+    """Each row whose id is divisible by every, against all rows."""
     return f"""
 WITH pairs AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id)::INTEGER AS rank FROM pairs)
 SELECT vec_id, neighbor_id, score, rank FROM ranked WHERE rank <= {k}"""
