@@ -8,7 +8,8 @@ differ in at most t_i bits in at least one part: otherwise they would differ in
 * Bits that are correlated over the corpus share a part, as they tend to differ together.
 * The thresholds are allocated by dynamic programming on the estimated number of candidates of each part and
   threshold, and on the rows that have to be probed for it. The estimates rest on the bits' means and correlations
-  over all fingerprints.
+  over all fingerprints. The number of parts is the one whose allocation costs least, so parts get wider, and candidates
+  a document fewer, as there are more documents: wider parts with higher thresholds take more probes instead.
 * Probing: two values within t bits share a value within t - t // 2 bits of one and t // 2 of the other, so both
   sides list such values and are joined on them. A pair counts only at one fixed meeting value in the
   first part where it is within the threshold, so no distinct is needed.
@@ -28,7 +29,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import lgamma
+from math import comb, lgamma
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,12 @@ from moraine.llm.common import batches, fresh, map_texts, mix, row_key, small, w
 from moraine.session import checkpointed
 
 BITS = 128
+#: Widest part, so that its values and its number fit one 64-bit integer.
+WIDEST = 56
+GROUPS = 64
+#: What a probed row costs, in candidates (measured: 1.1 and 0.15 microseconds).
+PROBE_COST = 8.0
+PROBES_A_TASK = 4_000_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -90,8 +98,11 @@ def moments(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tobytes()]), pa.array([ss.tobytes()])], names=["n", "s", "ss"])
 
-    # one row of fixed size for each partition, and no more than 16 of them
-    rows = prints.select("a", "b").coalesce(16).mapInArrow(run, "n long, s binary, ss binary").collect()
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"n": [sum(table["n"].to_pylist())], **{c: pa.array([sum(np.frombuffer(x) for x in table[c].to_pylist()).tobytes()], pa.binary()) for c in ("s", "ss")}})
+
+    # a row of fixed size for each partition, added up in groups, so that GROUPS of them come to the driver at most
+    rows = prints.select("a", "b").mapInArrow(run, "n long, s binary, ss binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS))).applyInArrow(add, "n long, s binary, ss binary").collect()
     return sum(r.n for r in rows), sum((np.frombuffer(r.s) for r in rows), np.zeros(BITS)), sum((np.frombuffer(r.ss).reshape(BITS, BITS) for r in rows), np.zeros((BITS, BITS)))
 
 
@@ -152,17 +163,37 @@ def allocate(counts: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
-def plan(n: int, sums: np.ndarray, products: np.ndarray, distance: int, parts: int, probe_cost: float = 30.0) -> tuple[list[list[int]], list[int]]:
-    """The bits of each part and its threshold. probe_cost: what a probed row costs, in candidates."""
+def sphere(width: int, radius: int) -> int:
+    """The number of masks of at most radius bits."""
+    return sum(comb(width, r) for r in range(radius + 1))
+
+
+class Plan(NamedTuple):
+    """The bits of each part and its threshold; by estimate, candidates and probed rows in all."""
+
+    bits: list[list[int]]
+    thresholds: list[int]
+    candidates: float
+    probes: float
+
+
+def plan(n: int, sums: np.ndarray, products: np.ndarray, distance: int, parts: int | None = None, probe_cost: float = PROBE_COST) -> Plan:
+    """The cheapest plan, of those with the given number of parts if it is given."""
     mean, corr = sums / max(n, 1), products / max(n, 1)
-    bits = partition_bits(corr - np.outer(mean, mean), parts)
-    most = min(4, distance)
-    counts = []
-    for own in bits:
-        p = within(mean[own], corr[np.ix_(own, own)])
-        rows = [len(ball(len(own), t - t // 2)) + (len(ball(len(own), t // 2)) if t % 2 else 0) for t in range(most + 1)]
-        counts.append([0.0, *(n * n / 2 * p[t] + probe_cost * n * rows[t] for t in range(most + 1))])
-    return bits, allocate(counts, distance - parts + 1)
+    best: tuple[float, Plan] | None = None
+    for number in range(-(-BITS // WIDEST), min(distance + 1, BITS) + 1) if parts is None else [parts]:
+        bits = partition_bits(corr - np.outer(mean, mean), number)
+        counts, own = [], []
+        for of in bits:
+            p, w = within(mean[of], corr[np.ix_(of, of)]), len(of)
+            own.append([(0.0, 0.0), *((n * n / 2 * p[t], float(n * (sphere(w, t - t // 2) + sphere(w, t // 2)))) for t in range(min(distance, w) + 1))])
+            counts.append([c + probe_cost * r for c, r in own[-1]])
+        thresholds = allocate(counts, distance - number + 1)
+        candidates, probes = (sum(o[t + 1][i] for o, t in zip(own, thresholds)) for i in (0, 1))
+        cost = candidates + probe_cost * probes
+        if best is None or cost < best[0]:
+            best = cost, Plan(bits, thresholds, candidates, probes)
+    return best[1]
 
 
 def part_value(bits: list[int]) -> Column:
@@ -174,24 +205,30 @@ def part_value(bits: list[int]) -> Column:
     return out
 
 
-def near_pairs(prints: DataFrame, distance: int, parts: int) -> DataFrame:
+def near_pairs(prints: DataFrame, distance: int, parts: int | None = None) -> DataFrame:
     """x, y: hashes of the fingerprints of all pairs within distance; prints: distinct fingerprints a, b. Each pair comes once.
 
     Probes carry the fingerprint and nothing else that identifies it, as they are the most that is shuffled.
     """
-    if parts * 32 < BITS:
-        raise ValueError(f"{parts} parts of {BITS} bits are too wide; a part has at most 32")
-    bits, thresholds = plan(*moments(prints), distance, parts)
+    if distance < 0 or (parts is not None and parts * WIDEST < BITS):
+        raise ValueError(f"{parts} parts of {BITS} bits are too wide; a part has at most {WIDEST}" if distance >= 0 else "distance is negative")
+    if parts is None and distance + 1 < -(-BITS // WIDEST):
+        parts = -(-BITS // WIDEST)
+    chosen = plan(*moments(prints), distance, parts)
+    bits, thresholds = chosen.bits, chosen.thresholds
     used = [i for i, t in enumerate(thresholds) if t >= 0]
+    # checkpointed rows may lie in few partitions, and each row becomes many
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(chosen.probes // PROBES_A_TASK))
+    prints = prints.repartition(tasks, "a", "b")
 
     def meetings(around: Column, i: int):
-        return lambda v: F.transform(around, lambda m: F.struct(v.bitwiseXOR(m.cast("long")).bitwiseOR(F.lit(i << 32).cast("long")).alias("at"), m.alias("m")))
+        return lambda v: F.transform(around, lambda m: F.struct(v.bitwiseXOR(m).bitwiseOR(F.lit(i << WIDEST).cast("long")).alias("at"), m.alias("m")))
 
     def probes(side: int) -> DataFrame:
         lists = []
         for i in used:
             radius = thresholds[i] // 2 if side else thresholds[i] - thresholds[i] // 2
-            around = F.array(*(F.lit(m) for m in ball(len(bits[i]), radius)))
+            around = F.expr("array(" + ",".join(f"{m}L" for m in ball(len(bits[i]), radius)) + ")")
             # transform over a one-entry array takes the bits out once, not for each entry of the ball
             lists.append(F.flatten(F.transform(F.array(part_value(bits[i])), meetings(around, i))))
         exploded = prints.select("a", "b", F.explode(F.concat(*lists)).alias("p"))
@@ -206,17 +243,14 @@ def near_pairs(prints: DataFrame, distance: int, parts: int) -> DataFrame:
         lo, hi = sum(1 << x for x in bits[i] if x < 64), sum(1 << (x - 64) for x in bits[i] if x >= 64)
         return F.bit_count(xa.bitwiseAND(signed(lo))) + F.bit_count(xb.bitwiseAND(signed(hi)))
 
-    # of the values where two rows meet in a part, the one counts that takes the lowest differing bits from side 1
-    x = F.col("m0").bitwiseXOR(F.col("m1"))
-    low = x.bitwiseAND(-x)
-    rest = x.bitwiseXOR(low)
-    part = F.shiftright("at", 32)
-    by_radius = {0: F.lit(0), 1: low, 2: low.bitwiseOR(rest.bitwiseAND(-rest))}
-    meeting = F.coalesce(*(F.when(part == i, by_radius[thresholds[i] // 2]) for i in used))
+    # of the values where two rows meet in a part, the one counts where side 1 has as many of the differing bits as it may, and the lowest
+    m0, m1, part = F.col("m0"), F.col("m1"), F.shiftright("at", WIDEST)
+    most = F.coalesce(*(F.when(part == i, F.lit(thresholds[i] // 2)) for i in used))
+    meeting = (m0.bitwiseAND(m1) == 0) & (F.bit_count(m1) == F.least(most, F.bit_count(m0.bitwiseXOR(m1)))) & ((m0 == 0) | (m1 < m0.bitwiseAND(-m0)))
     first = F.coalesce(*(F.when(apart(i) <= thresholds[i], F.lit(i)) for i in used))
     close = (F.bit_count(xa) + F.bit_count(xb)) <= distance
     once = (F.col("a0") < F.col("a1")) | ((F.col("a0") == F.col("a1")) & (F.col("b0") < F.col("b1")))
-    met = probes(0).join(probes(1), "at").where(once & (F.col("m1") == meeting) & close & (part == first))
+    met = probes(0).join(probes(1), "at").where(once & meeting & close & (part == first))
     return met.select(F.xxhash64("a0", "b0").alias("x"), F.xxhash64("a1", "b1").alias("y"))
 
 
@@ -244,7 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def grouped(docs: DataFrame, *, distance: int = 20, parts: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, *, distance: int = 20, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, id, keep (key of the one that stays), keep_id and members, for each distinct row of a group of two or more."""
     prints = checkpointed(fingerprinted(docs, id_col, text_col))
     distinct = checkpointed(prints.select("a", "b").distinct())

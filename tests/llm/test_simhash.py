@@ -65,13 +65,13 @@ def test_copies_are_caught_and_others_stay(spark):
     assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(range(40))
 
 
-@pytest.mark.parametrize("distance,parts", [(3, 5), (20, 7), (20, 21)])
+@pytest.mark.parametrize("distance,parts", [(3, 5), (20, 7), (20, None), (20, 4), (0, None)])
 def test_pairs_are_exact_at_any_setting(spark, distance, parts):
     rng = np.random.default_rng(distance)
     base = rng.integers(0, 1 << 63, (60, 2), dtype=np.int64)
     rows = {tuple(map(int, x)) for x in base}
     for a, b in base[:40]:
-        for n in (1, distance, distance + 1):
+        for n in (1, distance or 1, distance + 1):
             flip = rng.choice(126, n, replace=False)
             rows.add((int(a) ^ sum(1 << int(f) for f in flip if f < 63), int(b) ^ sum(1 << int(f - 63) for f in flip if f >= 63)))
     df = spark.createDataFrame(sorted(rows), "a long, b long")
@@ -86,6 +86,22 @@ def test_parts_must_fit(spark):
         simhash.near_pairs(spark.createDataFrame([(1, 2)], "a long, b long"), 3, 2)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 4, 35, 40, 60, 127])
+def test_every_distance_has_a_plan(distance):
+    chosen = simhash.plan(1000, np.zeros(128), 1000 * np.eye(128), distance, None if distance > 2 else 3)
+    assert sum(chosen.thresholds) == distance - len(chosen.bits) + 1
+    assert sorted(b for own in chosen.bits for b in own) == list(range(128))
+
+
+def test_parts_follow_the_number_of_documents():
+    """Candidates a document grow far less than the documents do."""
+    plans = {n: simhash.plan(n, np.zeros(128), n * np.eye(128), 20) for n in (10**3, 10**5, 10**7, 10**9)}
+    parts = [len(p.bits) for p in plans.values()]
+    assert parts == sorted(parts, reverse=True) and parts[0] > parts[-1]
+    fixed = simhash.plan(10**9, np.zeros(128), 10**9 * np.eye(128), 20, 7)
+    assert plans[10**9].candidates < fixed.candidates / 20
+
+
 def test_long_chains_end_as_one_group(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "x long, y long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
