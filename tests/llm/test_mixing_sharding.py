@@ -13,13 +13,13 @@ def test_mixture_against_sql_with_bad_rows(spark):
     db = duck(DATA / "sf0.001")
     db.sql("CREATE TABLE bad (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     db.executemany("INSERT INTO bad VALUES (?, ?, ?)", [(r.doc_id, r.text, r.source) for r in docs.collect()])
-    for keep, block in ((0.75, 64), (1.0, 16), (0.3, 4096)):
-        got = mixing.mixed(docs, keep=keep, block_tokens=block, shard_blocks=4).withColumnRenamed("doc", "doc_id")
-        rows = db.execute(mixing.mixture_sql(keep, block, 4, docs="bad"))
+    for budget, block in ((0.75, 64), (1.0, 16), (0.3, 4096)):
+        got = mixing.mixed(docs, budget=budget, block_tokens=block, shard_blocks=4).withColumnRenamed("doc", "doc_id")
+        rows = db.execute(mixing.mixture_sql(budget, block, 4, docs="bad"))
         names = [c[0] for c in rows.description]
         assert bag(got.columns, [tuple(r) for r in got.collect()]) == bag(names, rows.fetchall())
     assert mixing.mixed(docs.limit(0)).count() == 0
-    out = mixing.selected(docs, keep=1.0)
+    out = mixing.selected(docs, budget=1.0)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert mixing.selected(docs.limit(0)).count() == 0
 
@@ -27,7 +27,7 @@ def test_mixture_against_sql_with_bad_rows(spark):
 def test_quotas_are_those_of_highest_quotients(spark):
     weights = {"a": 5.0, "b": 3.0, "c": 1.0}
     docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
-    got = mixing.mixed(docs, weights=weights, keep=0.5, block_tokens=50, shard_blocks=8)
+    got = mixing.mixed(docs, weights=weights, budget=0.5, block_tokens=50, shard_blocks=8)
     seats = sorted({(r.seat, r.source, r.shard) for r in got.collect()})
     have = Counter({s: 40 for s in weights})
     quotients = sorted(((-Fraction(int(w * 200000), 2 * k - 1), s) for s, w in weights.items() for k in range(1, have[s] + 1)))
@@ -37,9 +37,33 @@ def test_quotas_are_those_of_highest_quotients(spark):
         assert all(abs(n[s] - 8 * w / 9) <= 1 for s, w in weights.items())
 
 
+def test_quotas_are_the_steps_of_the_apportionment(spark):
+    """Each shard's quotas: Sainte-Lague for all seats up to it, by dividing one seat after the other, less that for those before."""
+    docs = spark.createDataFrame([(i, "w " * 10, "abcd"[min(i % 7, 3)]) for i in range(700)], "doc_id long, text string, source string")
+    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.1}
+    own = mixing.checkpointed(mixing.placed(docs, block_tokens=50))
+    got = {(r.shard, r.source): r.quota for r in mixing.quotas(own, weights=weights, budget=0.6, shard_blocks=8).collect()}
+    have = {"a": 20, "b": 20, "c": 20, "d": 80}
+    n, want = Counter(), Counter()
+    for seat in range(int(sum(have.values()) * 0.6)):
+        best = max((s for s in weights if n[s] < have[s]), key=lambda s: (Fraction(int(weights[s] * 200000), 2 * n[s] + 1), [-ord(c) for c in s]))
+        n[best] += 1
+        want[seat // 8, best] += 1
+    assert got == dict(want)
+    rows = mixing.mixed(docs, weights=weights, budget=0.6, shard_blocks=8, block_tokens=50).select("source", "block", "seat").distinct().collect()
+    assert len({(r.source, r.block) for r in rows}) == len(rows) == sum(got.values())  # a seat takes one block, a block one seat
+
+
+def test_realised_shares_follow_the_quotas(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
+    for r in mixing.realised(docs, block_tokens=1024).collect():
+        assert abs(r.seat_share - r.token_share) < 0.06, r
+    assert mixing.realised(docs.limit(0)).count() == 0
+
+
 def test_equal_weights_go_by_name(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "abc"[i % 3]) for i in range(30)], "doc_id long, text string, source string")
-    got = mixing.mixed(docs, keep=1.0, block_tokens=20)
+    got = mixing.mixed(docs, budget=1.0, block_tokens=20)
     assert [s for _, s in sorted({(r.seat, r.source) for r in got.collect()})][:6] == ["a", "b", "c", "a", "b", "c"]
 
 
