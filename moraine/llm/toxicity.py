@@ -4,7 +4,9 @@ A document's logit is its highest sentence logit; a sentence's is the sum over t
 character n-grams of words (inflected and compounded insults share them), each counted once, so a repeated
 word weighs no more. Training
 minimises the documents' log loss, an L2 penalty, and the mean squared change of a sentence's logit when an
-identity term in it is swapped for another term of the same kind, or for none. What a group is called then
+identity term in it is swapped for another term of the same kind, or for none. Labelled texts seldom name every group, so
+terms are put into sentences as well: each text is trained on a second time with a term in one of its sentences, under its own label,
+and that sentence with the term, with each other term of the kind and without any are counterfactuals. What a group is called then
 moves no score, so neutral mentions aren't rejected.
 
 Only the fit uses a sample of the labelled rows, of a size that is a documented parameter. Scoring reads
@@ -12,7 +14,7 @@ every document whole.
 
 Defined cases: a null or empty text has no sentences and is never toxic (score 0). A null label or a label of
 a document that isn't there is left out; where one document has several labels, the highest counts. Documents
-with the same doc_id are scored each by its own text. With no toxic or no clean labelled row nothing can be
+with the same doc_id are scored each by its own text; of a labelled one with several texts, that of the lowest hash is learned from. With no toxic or no clean labelled row nothing can be
 learned, and nothing is rejected. An empty table gives an empty table. Further columns pass through; internal
 names give way to the table's own.
 """
@@ -94,12 +96,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2: float = 1e-3, steps: int = 250, rate: float = 0.1, terms: dict[str, tuple[str, ...]] | None = None, min_ratio: float = 2.0, min_evidence: float = 18.0) -> Model:
+def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2: float = 1e-3, steps: int = 250, rate: float = 0.1, terms: dict[str, tuple[str, ...]] | None = None, min_ratio: float = 2.0, min_evidence: float = 18.0, insert: bool = True) -> Model:
     """Train on whole labelled texts.
 
     counterfactual: weight of the swap penalty; 0 turns it off. A feature is used if its share among the toxic texts is
     exp(min_ratio) times that among the clean ones or more, and the evidence for that (twice the log-likelihood ratio)
-    is min_evidence at least, so the weights say what speaks for toxicity. l2, steps, rate: of the descent.
+    is min_evidence at least, so the weights say what speaks for toxicity. l2, steps, rate: of the descent. insert: whether terms are put into
+    sentences of the labelled texts; the features of the terms are then learned whatever their evidence.
     """
     kinds = IDENTITY_TERMS if terms is None else terms
     kind_of = {t: k for k, ts in kinds.items() for t in ts}
@@ -107,6 +110,7 @@ def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2:
     y = np.array([t for _, t in kept], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model()
+    bare = kept
     # texts that have each feature, over toxic and clean ones
     ids: dict[str, int] = {}
     of_word: dict[str, np.ndarray] = {}
@@ -131,6 +135,22 @@ def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2:
     names = [names[i] for i in np.flatnonzero((evidence >= min_evidence) & (ratio >= min_ratio))]
     if not names:
         return Model()
+    # a term that is like the evidence, or that texts were put to, is learned with it
+    every = sorted({f for ts in kinds.values() for t in ts for f in features(t)} - set(names)) if insert else []
+    n_evident = len(names)
+    for f in every:
+        ids.setdefault(f, len(ids))
+    names += every
+    put: list[tuple[str, str]] = []  # a sentence without a term, and the term put into it
+    order = sorted(kind_of)
+    if insert and order:
+        for d, (text, t) in enumerate(bare):
+            lines = text.split("\n")
+            line, term = lines[d % len(lines)], order[d % len(order)]
+            put.append((line, term))
+            kept = [*kept, ("\n".join([*lines[: d % len(lines)], f"<{term}>{line}", *lines[d % len(lines) + 1 :]]), t)]
+        y = np.array([t for _, t in kept], float)
+        n1, n0 = int(y.sum()), int(len(y) - y.sum())
     automaton_ = automaton(names)
 
     sents, doc_of = [], []  # a sentence without features stands for all such of its text
@@ -146,7 +166,7 @@ def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2:
     base, swapped = [], []  # what a sentence with an identity term has, before and after a swap
     of_names = {t: {i for i, n in enumerate(names) if n in features(t)} for ts in kinds.values() for t in ts}
     mention = re.compile(r"<(" + "|".join(map(re.escape, kind_of)) + r")>") if kind_of else None
-    for text, _ in kept if mention else []:
+    for text, _ in bare if mention else []:
         for line in text.split("\n"):
             for term in mention.findall(line):
                 rest = (found(automaton_, line.replace(f"<{term}>", "", 1)) or [set()])[0]
@@ -154,11 +174,17 @@ def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2:
                     if (before := rest | of_names[term]) != (after := rest | (of_names[other] if other else set())):
                         base.append(before)
                         swapped.append(after)
+    for line, term in put:
+        rest = (found(automaton_, line) or [set()])[0]
+        for other in [*(t for t in kinds[kind_of[term]] if t != term), None]:
+            if (before := rest | of_names[term]) != (after := rest | (of_names[other] if other else set())):
+                base.append(before)
+                swapped.append(after)
     pairs = [(k, i, s) for k, (x, z) in enumerate(zip(base, swapped)) for i, s in [*((i, 1.0) for i in x - z), *((i, -1.0) for i in z - x)]]
     pr, pc, ps = (np.array([p[i] for p in pairs]) for i in range(3)) if pairs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
     w, b = np.zeros(len(names)), -2.0
-    w += 0.1 * ratio[[ids[n] for n in names]]
+    w[:n_evident] = 0.1 * ratio[[ids[n] for n in names[:n_evident]]]
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
     for step in range(1, steps + 1):
@@ -195,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     kind = labels.schema[id_col].dataType.simpleString()
     table = F.broadcast(spark.createDataFrame(chosen, f"k {kind}, y int"))  # at most twice max_rows ids
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(table, "k").orderBy(*order, F.xxhash64("t")).collect()
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(table, "k").groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("t"))
+    rows = texts.select("k", "y", F.col("t.t").alias("t")).orderBy(*order).collect()  # one text for each id of the sample
     return fit([r.t for r in rows], [r.y for r in rows], **options)
 
 

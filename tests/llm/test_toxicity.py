@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -28,17 +30,78 @@ def corpus(n: int = 400, biased: bool = True) -> list[tuple[int, str, int]]:
     return out
 
 
-def test_swaps_move_no_score():
-    rows = corpus()
-    texts, y = [r[1] for r in rows], [r[2] for r in rows]
-    plain, fair = (toxicity.fit(texts, y, counterfactual=c) for c in (0.0, 50.0))
-    neutral = ["the women bring bread", "boys open the market", "men bring flowers and fruit"]
-    change = lambda m: max(abs(m.score(t) - m.score(t.replace("women", "x").replace("boys", "x").replace("men", "x"))) for t in neutral)
-    assert change(fair) < 0.05 and change(fair) <= change(plain)
-    assert all(fair.score(t) < 0.5 for t in neutral)
+GROUPS = ("women", "men", "girls", "boys")
+
+
+def implicit(n: int = 400) -> list[tuple[str, int]]:
+    """Half of the toxic texts hold no insult but name a group, so a plain fit blames the names."""
+    rng = random.Random(6)
+    out = []
+    for i in range(n):
+        toxic = i % 4 == 0
+        w = [rng.choice(CLEAN) for _ in range(14)]
+        if toxic and i % 8 == 0:
+            w[3] = rng.choice(BAD)
+        if toxic:
+            w[8] = rng.choice(GROUPS)
+        out.append((" ".join(w[:7]) + ". " + " ".join(w[7:]), int(toxic)))
+    return out
+
+
+def test_the_penalty_cuts_false_positives():
+    """Neutral mentions of groups, none of which was trained on; the default weight of the penalty."""
+    rng = random.Random(7)
+    texts, y = zip(*implicit())
+    plain, fair = toxicity.fit(texts, y, counterfactual=0.0, insert=False), toxicity.fit(texts, y)
+    neutral = [" ".join([rng.choice(CLEAN), rng.choice(GROUPS), *(rng.choice(CLEAN) for _ in range(5))]) for _ in range(100)]
+    blamed = {name: sum(m.score(t) >= 0.5 for t in neutral) for name, m in (("plain", plain), ("fair", fair))}
+    assert blamed["fair"] < blamed["plain"] / 4, blamed
+    swap = lambda t: next(t.replace(g, "x") for g in GROUPS if g in t.split())
+    change = lambda m: sum(abs(m.score(t) - m.score(swap(t))) for t in neutral) / len(neutral)
+    assert change(fair) < change(plain) / 4
     assert fair.score("the women are fine. what a moron he is") >= 0.5
 
 
+def test_terms_are_put_into_labelled_sentences():
+    """Labelled texts that name no group at all: the penalty still acts, on terms that share features with the evidence."""
+    rows = [(t, y) for _, t, y in corpus(biased=False) if not any(g in t.split() for g in GROUPS)]
+    texts, y = [t.replace("moron", "womanizer") for t, _ in rows], [y for _, y in rows]
+    plain, fair = toxicity.fit(texts, y, counterfactual=0.0, insert=False), toxicity.fit(texts, y)
+    assert plain.weights != fair.weights
+    shift = lambda m: abs(m.score("the woman opens the market") - m.score("the opens the market"))
+    logit = lambda m: sum(m.weights.get(f, 0.0) for f in toxicity.features("woman"))
+    assert abs(logit(fair)) < abs(logit(plain)) / 2 and shift(fair) <= shift(plain)
+    assert fair.score("you womanizer") >= 0.5
+
+
+def test_the_registered_fit_feels_the_penalty():
+    d = DATA / "sf0.01"
+    rows = duckdb.sql(f"SELECT text, max(toxic) FROM '{d}/documents.parquet' d JOIN '{d}/labels.parquet' l ON l.doc_id = d.doc_id GROUP BY d.doc_id, text").fetchall()
+    texts, y = [t for t, _ in rows], [v for _, v in rows]
+    off, on = toxicity.fit(texts, y, counterfactual=0.0), toxicity.fit(texts, y)
+    drift = lambda m: sum(sum(m.weights.get(f, 0.0) for f in toxicity.features(t)) ** 2 for ts in toxicity.IDENTITY_TERMS.values() for t in ts)
+    assert off.weights != on.weights and drift(on) < drift(off)
+
+
+def slow_score(model: toxicity.Model, text: str | None) -> float:
+    """A score by substrings, without the automaton."""
+    best = None
+    for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+        words = re.findall(r"\w+", sentence)
+        if words:
+            joined = "".join(f"<{w}>" for w in words)
+            z = model.bias + sum(x for f, x in model.weights.items() if f in joined)
+            best = z if best is None else max(best, z)
+    return 0.0 if best is None or not model.weights else 1 / (1 + math.exp(-min(max(best, -500), 500)))
+
+
+def test_scores_by_substrings():
+    texts, y = zip(*implicit())
+    model = toxicity.fit(texts, y)
+    for t in [*texts[:60], None, "", "?!", "women. moron! boys"]:
+        assert abs(model.score(t) - slow_score(model, t)) < 1e-9
+
+
 def test_held_out_accuracy():
     d = DATA / "sf0.1"
     rows = duckdb.sql(f"SELECT text, y FROM '{d}/documents.parquet' d JOIN (SELECT doc_id, max(toxic) AS y FROM '{d}/labels.parquet' GROUP BY 1) l ON l.doc_id = d.doc_id ORDER BY hash(d.doc_id)").fetchall()
