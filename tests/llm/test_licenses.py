@@ -31,16 +31,10 @@ def brute(text: str | None, k: int = 3, slack: int = 8, threshold: float = 0.8)
             begin, end = min(i for _, i, _ in gr), max(i for _, i, _ in gr) + k
             if round(len(held) / len(t), 6) >= threshold and end - begin <= len(t) + slack:
                 spans.append((begin, end, name, len(held), round(len(held) / len(t), 6), len(gr)))
-    out, upto, best = [], None, None
-    for s in sorted(spans, key=lambda s: s[:3]):
-        key = (-s[3], -s[4], s[0], s[2])
-        if upto is not None and s[0] < upto:
-            best = min(best, (key, s))
-        else:
-            out += [best[1]] if best else []
-            best = (key, s)
-        upto = max(upto or 0, s[1])
-    out += [best[1]] if best else []
+    out: list[tuple] = []
+    for x in sorted(spans, key=lambda s: (-s[3], -s[4], s[0], s[2])):
+        if all(x[1] <= t[0] or t[1] <= x[0] for t in out):
+            out.append(x)
     return sorted((*s[2].split("/"), s[0], s[1], s[5], s[4]) for s in out)
 
 
@@ -68,6 +62,23 @@ def test_words_put_in_and_left_out(spark):
     assert {i: [x[0] for x in v] for i, v in found.items()} == {1: ["MIT"], 2: ["MIT"], 3: ["MIT"], 5: ["MIT", "MIT"], 7: ["MIT"]}
 
 
+def test_spans_that_only_a_third_overlaps_are_both_kept(spark):
+    """A overlaps B and B overlaps C, but A and C stand apart: both of them stay."""
+    w = [f"w{i}" for i in range(40)]
+    templates = {"A/x": " ".join(w[:14]), "B/x": " ".join(w[10:22]), "C/x": " ".join(w[20:30])}
+    docs = spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")
+    assert sorted((r.licence, r.begin, r.end) for r in lic.scanned(docs, templates=templates).collect()) == [("A", 0, 14), ("C", 20, 30)]
+
+
+def test_each_template_is_found_as_itself(spark):
+    rows = [(i, f"some words {t} and others") for i, t in enumerate(lic.TEMPLATES.values())]
+    found = got(lic.scanned(spark.createDataFrame(rows, "doc_id long, text string")))
+    names = list(lic.TEMPLATES)
+    for i, v in found.items():
+        assert (names[i].split("/")[0], "proprietary")[0] in {x[0] for x in v}, (names[i], v)
+    assert len(found) == len(rows)
+
+
 def test_bad_rows(spark):
     more = [(50, MIT, "en", "a"), (50, MIT, "en", "a"), (51, LONG + " All rights reserved", "en", "a")]
     docs = bad_docs(spark).unionByName(bad_docs(spark, more))
