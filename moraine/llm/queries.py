@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from moraine.llm import covertree, guesses, licenses, mixing, readability, sharding, simhash, surrogates, tiling, toxicity
 
+#: A public tokenizer's vocabulary, whose words the secret scan knows.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -61,7 +65,7 @@ def op3_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value in a credential context of any document, with its guess cost; never the value itself."""
-    return guesses.scanned(table(spark, sf_dir, "documents"))
+    return guesses.scanned(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY if os.path.exists(VOCABULARY) else None)
 
 
 @query("op1_pii_surrogates")
