@@ -72,3 +72,34 @@ def needs_ocr(blocks: DataFrame, by: list[str]) -> DataFrame:
     a = blocks.groupBy(*by).agg(F.count("text").alias("n"), F.sum(n).alias("chars"), F.sum(F.regexp_count("text", F.lit(r"\p{L}"))).alias("letters"), F.avg((n <= 3).cast("int")).alias("splinters"), F.avg(F.size(T.words_of(F.trim("text")))).alias("words"))
     bad = (F.coalesce("chars", F.lit(0)) < 20) | (F.coalesce("letters", F.lit(0)) < 12) | (F.col("n") == 0) | ((F.col("n") >= 3) & (F.col("splinters") >= 0.6)) | ((F.col("n") >= 6) & (F.col("words") < 2))
     return a.select(*by, bad.alias("needs_ocr"))
+
+
+_LIST = r"^(\d+[.)]|[-*]|[a-zA-Z][.)])\s+"
+
+
+def _typed(own: DataFrame, heading: Column, by: str) -> DataFrame:
+    """own (text, block_order) with block_type and heading_text, the last heading of the document up to there."""
+    kind = F.when(heading, "heading").when(F.col("text").rlike(_LIST), "list_item").otherwise("paragraph")
+    last = F.last(F.when(heading, F.col("text")), ignorenulls=True).over(Window.partitionBy(by).orderBy("block_order").rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumns({"block_type": kind, "heading_text": F.coalesce(last, F.lit(""))})
+
+
+def scan(raw: DataFrame, tables: DataFrame, *, doc: str = "doc_id") -> DataFrame:
+    """Raw blocks of laid-out pages as blocks of their documents, in reading order over all pages, without repeated margins and tables."""
+    by = [doc, "page_number"]
+    own = without_tables(without_noise(raw, doc), tables, by).withColumn("raw_text", F.col("text")).withColumn("text", T.squeezed(F.col("text")))
+    # the columns are told from the blocks that are left; blank ones count, but give no block
+    own = own.join(columns_of(own, by), by).join(median_fonts(own, by), by).where("text <> ''")
+    column = F.when(F.col("two_columns") & ((F.col("x0") + F.col("x1")) / 2 > F.col("page_width") / 2), 1).otherwise(0)
+    order = Window.partitionBy(doc).orderBy("page_number", column, F.bround(F.col("y0") / 4) * 4, "x0", "y0")
+    own = own.withColumn("block_order", F.row_number().over(order) - 1)
+    return _typed(own, T.layout_heading(F.col("text"), F.col("font_size"), F.col("is_bold"), F.col("median_font")), doc)
+
+
+def text_blocks(pages: DataFrame, by: str, text_col: str = "text") -> DataFrame:
+    """by, block_order, text, block_type and heading_text of each paragraph of read pages."""
+    parts = pages.select(by, F.posexplode(F.split(text_col, r"\n\s*\n+")).alias("i", "part")).select(by, "i", T.squeezed(F.col("part")).alias("text")).where("text <> ''")
+    own = parts.withColumn("block_order", F.row_number().over(Window.partitionBy(by).orderBy("i")) - 1).drop("i")
+    letters, upper = F.regexp_count("text", F.lit(r"\p{L}")), F.regexp_count("text", F.lit(r"\p{Lu}"))
+    heading = F.col("text").rlike(r"(?i)^(bab|bagian|pasal)([^\p{L}\p{N}_]|$)") | ((letters >= 4) & (upper >= 0.72 * letters) & (F.size(F.split("text", " ")) <= 12))
+    return _typed(own, heading, by)
