@@ -33,7 +33,7 @@ def blocks(vectors: DataFrame, id_col: str, vector_col: str, group_col: str | No
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            groups = np.array([g if g is not None else "" for g in part.column(2).to_pylist()])
+            groups = np.array([g if g is not None else "\0" for g in part.column(2).to_pylist()])
             lengths = np.diff(part.column(1).offsets.to_numpy())
             x = np.asarray(part.column(1).flatten(), np.float64)
             if not len(lengths):
@@ -54,7 +54,7 @@ def blocks(vectors: DataFrame, id_col: str, vector_col: str, group_col: str | No
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "qid", query_vector: str = "embedding", id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None, exclude_same: bool = False, threshold: float | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """qid, id, score (rounded to 6 digits) and rank of the k best per query; equal scores by the lowest id.
 
-    group_col: queries and corpus rows meet only within their group (a category filter before the search).
+    group_col: queries meet only the corpus rows of their group (a category filter before the search); a query without a group meets all.
     Every pair of blocks is one matrix product; only k rows per query leave it. Each query's rows of all blocks are
     ranked by a window that Spark limits before its shuffle.
     """
@@ -75,6 +75,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "qid
 
     q = blocks(queries, query_id, query_vector, group_col, rows).select("g", F.col("ids").alias("qi"), F.col("v").alias("qv"))
     c = blocks(corpus, id_col, vector_col, group_col, rows).select("g", F.col("ids").alias("ci"), F.col("v").alias("cv"))
-    pairs = (q.join(c, "g") if group_col else q.crossJoin(c.drop("g"))).select("qi", "qv", "ci", "cv")
+    all_ = c.drop("g")
+    # "\0" stands for no group
+    pairs = (q.join(c, "g").where(F.col("g") != "\0").drop("g").unionByName(q.where(F.col("g") == "\0").drop("g").crossJoin(all_)) if group_col else q.crossJoin(all_)).select("qi", "qv", "ci", "cv")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("key"), "id"))
     return pairs.mapInArrow(best, "qid long, id long, key long").withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "id", (F.col("key") / SCALE).alias("score"), "rank")

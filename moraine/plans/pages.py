@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moraine.functions import text as T
+from moraine.operators.knowledge import unescaped
 from moraine.plans.registry import query, table
 from moraine.sources import files, html
 
@@ -19,10 +20,10 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
-@query(f"SELECT page_id, {_STRIP} AS content FROM pages")
+@query(f"""SELECT page_id, regexp_replace(replace(replace(replace({_STRIP}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS content FROM pages""")
 def fallback_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text where no parser can be used."""
-    return table(spark, sf_dir, "pages").select("page_id", T.stripped_html(F.col("html")).alias("content"))
+    return unescaped(table(spark, sf_dir, "pages").select("page_id", T.stripped_html(F.col("html")).alias("content")), "content")
 
 
 @query(r"""SELECT page_id, (length(""" + _STRIP + r""") < 300 OR regexp_matches(html, '(?i)<(div|section)\s[^>]*(class|id)=["''][^"'']*\b(__next|__nuxt|app|root|vue-app)\b')
@@ -100,6 +101,13 @@ def faq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.read_faq(table(spark, sf_dir, "pages"))
 
 
+@query()
+def faq_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the pairs of every page; some questions and answers are put to each, as the driver's pages have none."""
+    pair = F.concat(F.lit("<dl><dt>What is the page about, number "), F.col("page_id").cast("string"), F.lit("?</dt><dd>It is at "), "url", F.lit(" and more.</dd></dl>"))
+    return html.read_faq_chunks(table(spark, sf_dir, "pages").select("page_id", F.concat("html", pair).alias("html")))
+
+
 @query()
 def web_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent and child chunks of every page."""

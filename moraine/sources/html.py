@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.operators.chunking import WEB_SIZES, Block, chunk_blocks, rows, squeeze
+from moraine.operators.chunking import FAQ_SIZES, WEB_SIZES, Block, chunk_blocks, rows, squeeze
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_CONTENT = frozenset("aside button canvas footer form header iframe input meta nav noscript option script select style svg template video".split())
@@ -23,11 +23,16 @@ CONTENT_CLASS = re.compile(r"\b(article|content|entry-content|main-content|page-
 FAQ_CLASS = re.compile(r"faq|accordion|qa|tanya.?jawab|question|jawaban|pertanyaan", re.I)
 
 
+#: Levels of nesting; elements below become siblings, as in browsers. Bounds what walking up and down costs.
+DEPTH = 256
+
+
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "depth")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth: int = parent.depth + 1 if parent is not None else 0
         self.children: list[Element | str] = []
 
     def walk(self) -> Iterator[Element]:
@@ -48,6 +53,18 @@ class Element:
                 todo += reversed(e.children)
         return squeeze(" ".join(out))
 
+    def markup_length(self) -> int:
+        """Characters of the element as it would be written out."""
+        out, todo = 0, [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, str):
+                out += len(e)
+            else:
+                out += len(e.tag) + 2 + sum(len(k) + len(v) + 4 for k, v in e.attrs.items()) + (0 if e.tag in VOID else len(e.tag) + 3)
+                todo += e.children
+        return out
+
     def label(self) -> str:
         return f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}"
 
@@ -60,6 +77,8 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "p" and self.here.tag == "p":
             self.here = self.here.parent or self.root
+        while self.here.depth >= DEPTH:
+            self.here = self.here.parent or self.root
         e = Element(tag, {k: v or "" for k, v in attrs}, self.here)
         self.here.children.append(e)
         if tag not in VOID:
@@ -98,13 +117,17 @@ def pruned(e: Element) -> Element:
 
 
 def main_text(page: str | None) -> str:
-    """The texts of the main part's blocks of more than ten characters, a blank line apart."""
+    """The texts of the main part's blocks of more than ten characters, a blank line apart.
+
+    The main part is the first article, the first main or the first div of a content class with over 200 characters that aren't white space; else the div of over
+    150 with the greatest share of text in its markup, if that is over a quarter; else the body.
+    """
     root = pruned(tree(page))
-    part = next((e for e in root.walk() if e.tag == "article" and len(e.text()) > 200), None)
-    part = part or next((e for e in root.walk() if e.tag == "main" and len(e.text()) > 200), None)
-    part = part or next((e for e in root.walk() if e.tag == "div" and CONTENT_CLASS.search(e.label()) and len(e.text()) > 200), None)
+    size = lambda e: len(e.text().replace(" ", ""))
+    part = next((e for name in ("article", "main") if (e := first(root, name)) is not None and size(e) > 200), None)
+    part = part or next((e for e in root.walk() if e.tag == "div" and CONTENT_CLASS.search(e.label()) and size(e) > 200), None)
     if part is None:
-        divs = [(len(t), e) for e in root.walk() if e.tag == "div" and len(t := e.text()) > 200 and len(t) > 0.25 * sum(1 for _ in e.walk()) * 20]
+        divs = [(n / m, e) for e in root.walk() if e.tag == "div" and (n := size(e)) > 150 and (m := e.markup_length()) > 200 and n > 0.25 * m]
         part = max(divs, key=lambda d: d[0])[1] if divs else first(root, "body") or root
     blocks = [t for e in part.walk() if e.tag in TEXT_TAGS and len(t := e.text()) > 10]
     return "\n\n".join(blocks) if blocks else part.text()
@@ -281,6 +304,18 @@ def read_clean(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
     return _table(pages, "page_id long, title string, content string", lambda i, h: [(i, title(h), main_text(h))], id_col, html_col)
 
 
+def faq_chunks(source: object, page: str | None) -> list[tuple]:
+    """Rows of parent and child chunks of a page's pairs: each pair is a block of its own, without overlap and merging."""
+    pairs = [Block(f"Pertanyaan: {q}\nJawaban: {a}", 1, "faq_item", None, q, ["FAQ", q], "faq", None, i) for i, (q, a) in enumerate(faq_pairs(page))]
+    return list(rows(source, chunk_blocks(source, pairs, FAQ_SIZES, merge=False)))
+
+
+def read_faq_chunks(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    from moraine.operators.chunking import CHUNK_SCHEMA
+
+    return _table(pages, CHUNK_SCHEMA, faq_chunks, id_col, html_col)
+
+
 def read_faq(pages: DataFrame, question: str | None = None, answer: str | None = None, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     return _table(pages, "page_id long, ordinal int, question string, answer string", lambda i, h: [(i, n, q, a) for n, (q, a) in enumerate(faq_pairs(h, question, answer))], id_col, html_col)
 
