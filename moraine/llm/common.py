@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -121,10 +122,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs of letters, digits, marks and underscores; each letter of a script without spaces (ideographs,
     kana, Thai and others) and each pictograph is a word, and Unicode punctuation, spaces and signs break words
-    as ASCII's do. Texts are to be in lower case already. A null text has no words. The hash is a polynomial of the bytes modulo 2**64,
+    as ASCII's do. Characters beyond ASCII are taken in their NFKC form. Texts are to be in lower case already. A null text has no words. The hash is a polynomial of the bytes modulo 2**64,
     taken as a difference of running sums, so no word is visited in Python.
     """
     data, at = _buffers(texts)
+    if len(data) and data.max() >= 128:  # one form of each character: ligatures, full width, composed marks
+        data, at = _buffers(pc.utf8_normalize(texts.cast(pa.large_string()), "NFKC"))
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
