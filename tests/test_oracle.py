@@ -12,10 +12,10 @@ SMALL = DATA / "sf0.001"
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
-    compare(registry.QUERIES[name](spark, str(SMALL)), registry.ORACLE_SQL[name], SMALL)
+    assert compare(registry.QUERIES[name](spark, str(SMALL)), registry.ORACLE_SQL[name], SMALL) > 0
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_gives_rows(spark, name):
     df = registry.QUERIES[name](spark, str(SMALL))
-    assert df.columns and (df.count() > 0 or name == "faq_pairs")
+    assert df.columns and df.count() > 0
