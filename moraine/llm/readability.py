@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from moraine.llm.common import fresh, map_texts
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|hidden|style|aria-hidden)(?![\w-])(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+_USED = re.compile("class|id|style", re.I)  # hidden has id in it
 _RAW = {n: re.compile(f"</{n}(?![a-z0-9])[^>]*+>?", re.I) for n in ("script", "style", "noscript", "template", "svg", "textarea", "iframe")}
 _NO_DISPLAY = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 #: Levels of nesting; elements below become siblings.
@@ -54,7 +55,7 @@ class Node:
         self.tag, self.parent, self.block, self.children = tag, parent, block, []  # children: nodes and strings
         self.score, self.length, self.linked, self.weight = 0.0, 0, 0, 0
         self.dropped = tag in _NEVER or (strip and tag in _DROPPED) or tag == "nav"
-        for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        for name, value in _ATTRIBUTE.findall(attributes) if attributes and _USED.search(attributes) else ():
             value, name = value.strip("\"'"), name.lower()
             if name in ("class", "id"):
                 if strip and _UNLIKELY.search(value) and not _LIKELY.search(value) and tag not in ("html", "body"):
@@ -161,7 +162,7 @@ def parse(page: str, strip: bool = True) -> tuple[Node, str]:
         here = open_.stack[-1]
         node = Node(tag, here, m[3], strip, open_.stack[open_.blocks[-1]])
         here.children.append(node)
-        if tag not in _VOID and not m[3].endswith("/"):
+        if tag not in _VOID:  # a slash at the end of another tag means nothing
             open_.push(node)
     text(at, n)
     return root, title

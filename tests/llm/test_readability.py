@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pyarrow.parquet as pq
+import pytest
 
 from moraine.llm import readability as rd
 from tests.compare import DATA
@@ -37,6 +41,51 @@ def test_points_and_choice_against_the_definition():
         assert {id(n): round(n.score, 9) for n in containers} == {i: round(s, 9) for i, s in want.items()}
 
 
+def made(rng: random.Random) -> tuple[str, str]:
+    """A page of known parts, and its main text by the definition, from the parts alone: containers of paragraphs, each a div of the body."""
+    parts = []
+    for i in range(rng.randrange(2, 6)):
+        own = [(rng.choice(["p", "li", "h2"]), " ".join(rng.choice(["word,", "other", "longer", "text"]) for _ in range(rng.randrange(1, 60)))) for _ in range(rng.randrange(1, 5))]
+        parts.append((rng.random() < 0.3, own))  # whether all of it is a link
+    html = "".join("<div>" + "".join(f"<{t}>" + (f"<a href=/>{x}</a>" if link else x) + f"</{t}>" for t, x in own) + "</div>" for link, own in parts)
+    points = [sum(1 + x.count(",") + min(len(x) // 100, 3) for _, x in own if len(x) >= 25) for _, own in parts]
+    length = [sum(len(x) for _, x in own) for _, own in parts]
+    values = [0.0 if link else float(p) for (link, _), p in zip(parts, points)]
+    linked = sum(n for (link, _), n in zip(parts, length) if link)
+    body, root = (s * (1 - linked / sum(length)) for s in (sum(points) / 2, sum(points) / 9 + 0.0))
+    root = sum(points) / (3 * 3) * (1 - linked / sum(length))
+    if not any(points):
+        return f"<html><body>{html}</body></html>", "\n\n".join(x for _, own in parts for _, x in own)
+    best = max([root, body, *values])
+    if best in (root, body):
+        keep = range(len(parts))
+    else:
+        first = values.index(best)
+        keep = [i for i, v in enumerate(values) if i == first or v >= max(10.0, best * 0.2)]
+    return f"<html><body>{html}</body></html>", "\n\n".join(x for i in keep for _, x in parts[i][1])
+
+
+def test_built_pages_against_the_definition():
+    rng = random.Random(8)
+    for _ in range(300):
+        page, want = made(rng)
+        assert rd.extract(page)[1] == want, page
+
+
+@pytest.mark.parametrize("piece", ["<a b", "<b>", "<div>", "<li>", "</span>", "<!-- ", '<a b=">" ', '<a b="', "< ", "</", "&", "<script ", '<p class="', "<a href=x>t", "<dd><b>"])
+def test_broken_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    rd.extract(piece * (400_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+def test_no_text_is_lost_to_unlikely_places():
+    assert rd.extract(f"<body><form><div><p>{P}</p><p>{P}</p></div></form></body>")[1].count(P) == 2
+    assert rd.extract(f"<body><div class='sidebar-left menu'><p>{P}</p><p>{P}</p></div></body>")[1].count(P) == 2
+    assert rd.extract(f"<body><div><p>{P}</p><p hidden>{P} no</p><p style='display: none'>no</p><p aria-hidden=true>no</p></div></body>")[1] == P
+    assert rd.extract(f"<body><div><p>{P}</p><p data-class='menu hidden'>{P}</p></div></body>")[1].count(P) == 2
+
+
 def test_siblings_with_text_are_kept():
     body = f"<body><div><p>{P}{P}{P}</p><p>{P}</p></div><p>{P} Lone sibling paragraph.</p><ul><li><a href=/>links</a></li></ul></body>"
     assert "Lone sibling" in rd.extract(body)[1] and "links" not in rd.extract(body)[1]
