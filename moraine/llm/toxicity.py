@@ -22,6 +22,7 @@ names give way to the table's own.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -163,25 +164,30 @@ def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2:
     rows = np.repeat(np.arange(len(sents)), [len(s) for s in sents])
     cols = np.array([i for s in sents for i in sorted(s)], int)
 
-    base, swapped = [], []  # what a sentence with an identity term has, before and after a swap
+    # what each swap changes in the features of a sentence with an identity term: swap, feature, +1 where it goes and -1 where it comes
+    swaps, pr, pc, ps = 0, array("i"), array("i"), array("b")
+
+    def swap(rest: set[int], term: str) -> None:
+        nonlocal swaps
+        before = rest | of_names[term]
+        for other in [*(t for t in kinds[kind_of[term]] if t != term), None]:
+            after = rest | (of_names[other] if other else set())
+            if before != after:
+                for sign, own in ((1, before - after), (-1, after - before)):
+                    pr.extend([swaps] * len(own))
+                    pc.extend(own)
+                    ps.extend([sign] * len(own))
+                swaps += 1
+
     of_names = {t: {i for i, n in enumerate(names) if n in features(t)} for ts in kinds.values() for t in ts}
     mention = re.compile(r"<(" + "|".join(map(re.escape, kind_of)) + r")>") if kind_of else None
     for text, _ in bare if mention else []:
         for line in text.split("\n"):
             for term in mention.findall(line):
-                rest = (found(automaton_, line.replace(f"<{term}>", "", 1)) or [set()])[0]
-                for other in [*(t for t in kinds[kind_of[term]] if t != term), None]:
-                    if (before := rest | of_names[term]) != (after := rest | (of_names[other] if other else set())):
-                        base.append(before)
-                        swapped.append(after)
+                swap((found(automaton_, line.replace(f"<{term}>", "", 1)) or [set()])[0], term)
     for line, term in put:
-        rest = (found(automaton_, line) or [set()])[0]
-        for other in [*(t for t in kinds[kind_of[term]] if t != term), None]:
-            if (before := rest | of_names[term]) != (after := rest | (of_names[other] if other else set())):
-                base.append(before)
-                swapped.append(after)
-    pairs = [(k, i, s) for k, (x, z) in enumerate(zip(base, swapped)) for i, s in [*((i, 1.0) for i in x - z), *((i, -1.0) for i in z - x)]]
-    pr, pc, ps = (np.array([p[i] for p in pairs]) for i in range(3)) if pairs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        swap((found(automaton_, line) or [set()])[0], term)
+    pr, pc, ps = (np.asarray(x) for x in (pr, pc, ps))
 
     w, b = np.zeros(len(names)), -2.0
     w[:n_evident] = 0.1 * ratio[[ids[n] for n in names[:n_evident]]]
@@ -196,9 +202,9 @@ def fit(texts: list[str], toxic: list[int], *, counterfactual: float = 5.0, l2:
         g_sent = np.zeros(len(sents))
         g_sent[best] = g_doc
         g = np.bincount(cols, weights=g_sent[rows], minlength=len(w)) + l2 * w
-        if pairs and counterfactual:
-            change = np.bincount(pr, weights=w[pc] * ps, minlength=len(base))
-            g += np.bincount(pc, weights=2 * counterfactual / len(base) * change[pr] * ps, minlength=len(w))
+        if swaps and counterfactual:
+            change = np.bincount(pr, weights=w[pc] * ps, minlength=swaps)
+            g += np.bincount(pc, weights=2 * counterfactual / swaps * change[pr] * ps, minlength=len(w))
         g = np.append(g, g_doc.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
