@@ -250,7 +250,8 @@ def near_pairs(prints: DataFrame, distance: int, parts: int | None = None) -> Da
     first = F.coalesce(*(F.when(apart(i) <= thresholds[i], F.lit(i)) for i in used))
     close = (F.bit_count(xa) + F.bit_count(xb)) <= distance
     once = (F.col("a0") < F.col("a1")) | ((F.col("a0") == F.col("a1")) & (F.col("b0") < F.col("b1")))
-    met = probes(0).join(probes(1), "at").where(once & meeting & close & (part == first))
+    # Spark takes a row's probes for as small as the row itself, so without the hint it broadcasts them all through the driver when the fingerprints are few
+    met = probes(0).hint("merge").join(probes(1).hint("merge"), "at").where(once & meeting & close & (part == first))
     return met.select(F.xxhash64("a0", "b0").alias("x"), F.xxhash64("a1", "b1").alias("y"))
 
 

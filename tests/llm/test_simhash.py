@@ -81,6 +81,16 @@ def test_pairs_are_exact_at_any_setting(spark, distance, parts):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_probes_stay_out_of_the_driver(spark):
+    """Fingerprints that are few enough to be broadcast have far more probes, which are joined by a shuffle."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([tuple(map(int, x)) for x in rng.integers(0, 1 << 62, (200, 2))], "a long, b long")
+    pairs = simhash.near_pairs(df, 20)
+    pairs.collect()
+    ran = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in ran and "SortMergeJoin" in ran and "Broadcast" not in ran
+
+
 def test_parts_must_fit(spark):
     with pytest.raises(ValueError):
         simhash.near_pairs(spark.createDataFrame([(1, 2)], "a long, b long"), 3, 2)
