@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from moraine.llm import mixing, queries, sharding, toxicity
+from moraine.llm import mixing, queries, sharding, simhash, toxicity
 from tests.compare import DATA, bag, duck
 from tests.llm.fixtures import bad_docs
 from tests.llm.test_simhash import survivors
@@ -43,6 +43,21 @@ def test_stages(spark):
         assert out.count() <= docs.count()
 
 
+def test_near_duplicates_broadcast_no_probes(spark, monkeypatch):
+    """The second stage joins what it makes of the documents by a shuffle, also where the documents are few."""
+    ran, components = [], simhash.components
+
+    def watched(edges):
+        edges.collect()
+        ran.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", watched)
+    docs = spark.read.parquet(str(SF / "documents.parquet"))
+    assert 0 < corpus_pipeline.drop_near_duplicates(spark, docs, str(SF)).count() < docs.count()
+    assert len(ran) == 1 and "SortMergeJoin" in ran[0] and "Broadcast" not in ran[0]
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
