@@ -259,7 +259,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the lowest node of the connected component, for each node of edges (x, y).
 
     Large-star and small-star steps in turn, until no edge changes. Each step's edges are checkpointed, so an
-    executor that is lost costs one step.
+    executor that is lost costs one step. The joins carry the hint, so no step's edges go through the driver.
     """
     edges = checkpointed(edges.select("x", "y"))
     seen = None
@@ -267,11 +267,11 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         # large star: what is greater than a node is tied to the lowest of its neighbours
-        large = both.where("y > x").join(low, "x").select(F.col("m").alias("x"), "y").distinct()
+        large = both.where("y > x").hint("merge").join(low, "x").select(F.col("m").alias("x"), "y").distinct()
         # small star: a node and what is lower than it are tied to the lowest
         down = large.select(F.col("y").alias("n"), F.col("x").alias("o"))
         least = down.groupBy("n").agg(F.min("o").alias("m"))
-        small = down.join(least, "n").select(F.col("m").alias("x"), F.col("o").alias("y")).where("x < y").union(least.select(F.col("m").alias("x"), F.col("n").alias("y"))).distinct()
+        small = down.hint("merge").join(least, "n").select(F.col("m").alias("x"), F.col("o").alias("y")).where("x < y").union(least.select(F.col("m").alias("x"), F.col("n").alias("y"))).distinct()
         edges = checkpointed(small)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
         if state == seen:
@@ -286,10 +286,10 @@ def grouped(docs: DataFrame, *, distance: int = 20, parts: int | None = None, id
     roots = components(near_pairs(distinct, distance, parts))
     own = prints.groupBy("a", "b", "key").agg(F.first("id").alias("id"), F.count("*").alias("n"))
     print_ = F.xxhash64("a", "b")
-    placed = own.withColumn("node", print_).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = own.withColumn("node", print_).join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull().alias("u"), F.col("id").alias("id"), F.col("key").alias("key"))
     first = placed.groupBy("root").agg(F.min(order).alias("f"), F.sum("n").alias("members")).where("members > 1")
-    return checkpointed(placed.join(first, "root").select("key", "id", F.col("f.key").alias("keep"), F.col("f.id").alias("keep_id"), "members", "n"))
+    return checkpointed(placed.join(first.hint("merge"), "root").select("key", "id", F.col("f.key").alias("keep"), F.col("f.id").alias("keep_id"), "members", "n"))
 
 
 def duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -58,6 +58,21 @@ def test_near_duplicates_broadcast_no_probes(spark, monkeypatch):
     assert len(ran) == 1 and "SortMergeJoin" in ran[0] and "Broadcast" not in ran[0]
 
 
+def test_near_duplicates_broadcast_no_groups(spark, monkeypatch):
+    """Nor do the edges, the components or the groups of the second stage go through the driver."""
+    ran, checkpointed = [], simhash.checkpointed
+
+    def watched(df):
+        df.collect()
+        ran.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(simhash, "checkpointed", watched)
+    docs = spark.read.parquet(str(SF / "documents.parquet"))
+    assert 0 < corpus_pipeline.drop_near_duplicates(spark, docs, str(SF)).count() < docs.count()
+    assert len(ran) > 4 and sum("SortMergeJoin" in p for p in ran) > 2 and not [p for p in ran if "Broadcast" in p]
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
