@@ -162,3 +162,35 @@ def test_sources_that_changed(spark):
 def test_progress_lines(spark):
     got = one(spark, progress.parsed(F.col("x"), "page int"), x='PROGRESS {"page": 3}')
     assert got.page == 3 and one(spark, progress.parsed(F.col("x"), "page int"), x='{"page": 3}') is None
+
+
+@pytest.mark.parametrize("kind,threshold,grouped", [("float", None, False), ("double", None, True), ("float", 0.3, True), ("double", 0.6, False)])
+def test_search_over_many_cells(spark, monkeypatch, kind, threshold, grouped):
+    """Queries and corpus are cut into several cells each, equal scores and copies lie on the cuts, and some queries have no group."""
+    for name, value in (("QUERY_BYTES", 1 << 13), ("CORPUS_BYTES", 1 << 13), ("STRIP", 16)):
+        monkeypatch.setattr(vector, name, value)
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(700, 4)), 1).astype(np.float32)
+    x[::7], x[x.any(axis=1) == 0] = x[3], 1.0
+    groups = [None if i % 11 == 0 else f"g{i % 3}" for i in range(700)]
+    df = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(x, groups))] + [(900, None, "g0"), (901, [0.0] * 4, "g1"), (None, [1.0] * 4, "g1")], f"vec_id long, embedding array<{kind}>, g string").repartition(5)
+    assert min(vector._cells(df, df, "embedding", 6, (kind == "float", kind == "float"))) > 1
+    n = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    keys = np.rint(n @ n.T * 1e6).astype(int)
+    want = {}
+    for i in range(700):
+        may = [j for j in range(700) if j != i and (not grouped or groups[i] is None or groups[i] == groups[j]) and (threshold is None or keys[i, j] >= threshold * 1e6)]
+        if may:
+            want[i] = sorted(may, key=lambda j: (-keys[i, j], j))[:6]
+    got: dict = {}
+    for r in vector.top_k(df, df, 6, query_id="vec_id", exclude_same=True, threshold=threshold, group_col="g" if grouped else None, rows=50).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+        assert r.score == keys[r.qid, r.id] / 1e6
+    assert got == want
+
+
+def test_search_shares_no_task_between_partitions(spark):
+    """Vectors are packed once for each side, not again for each pair of partitions, and no task has a product of partitions."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<float>").repartition(6)
+    plan = vector.top_k(df, df, 3, query_id="vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
