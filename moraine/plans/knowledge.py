@@ -11,6 +11,7 @@ from moraine.operators import layout
 from moraine.plans.layout import _COLUMNS, _NOISE, _PAGE, _RAW, raw_blocks
 from moraine.plans.registry import query, table
 from moraine.plans.retrieval import _CANDIDATES, candidates
+from moraine.session import written
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND lang <> 'de' AND (doc_id % 5 <> 4)")
@@ -25,16 +26,15 @@ _USULAN = _CANDIDATES + """,
 contexts AS (SELECT qid, id, CASE WHEN id % 3 = 0 THEN 'usulan' ELSE 'web' END AS source_type, CASE WHEN id % 5 = 0 THEN '  ' ELSE 'isi ' || id END AS content, score, rank FROM candidates WHERE qid % 2 = 0)"""
 
 
-def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).where("qid % 2 = 0")
-    return c.select("qid", "id", F.when(F.col("id") % 3 == 0, "usulan").otherwise("web").alias("source_type"), F.when(F.col("id") % 5 == 0, "  ").otherwise(F.concat(F.lit("isi "), F.col("id").cast("string"))).alias("content"), "score", "rank")
+def _contexts(c: DataFrame) -> DataFrame:
+    return c.where("qid % 2 = 0").select("qid", "id", F.when(F.col("id") % 3 == 0, "usulan").otherwise("web").alias("source_type"), F.when(F.col("id") % 5 == 0, "  ").otherwise(F.concat(F.lit("isi "), F.col("id").cast("string"))).alias("content"), "score", "rank")
 
 
 @query(_USULAN + """
 SELECT qid, id, content, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, id)::INTEGER AS place FROM contexts WHERE source_type = 'usulan' AND trim(content) <> '') WHERE place <= 3""")
 def proposal_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts that are proposals and not blank, three a query."""
-    return K.proposal_contexts(_contexts(spark, sf_dir), "qid", 3, ["rank", "id"]).select("qid", "id", "content", "place")
+    return K.proposal_contexts(_contexts(candidates(spark, sf_dir)), "qid", 3, ["rank", "id"]).select("qid", "id", "content", "place")
 
 
 @query(_USULAN + """,
@@ -45,9 +45,9 @@ SELECT qid, id, round(score, 3) AS final_score, note, CASE WHEN some_ok THEN 'su
 FROM every WHERE accepted = some_ok AND (NOT some_ok OR qid % 11 <> 0)""")
 def proposal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A proposal search: graph contexts, or else the nearest by vector; queries divisible by 11 have another topic."""
-    c = candidates(spark, sf_dir)
+    c = written(candidates(spark, sf_dir))
     topics = c.where("qid % 11 = 0").select("qid", F.lit(False).alias("relevant")).distinct()
-    return K.proposals(_contexts(spark, sf_dir), c.select("qid", "id", "score", "rank"), topics, "qid", threshold=0.5)
+    return K.proposals(_contexts(c), c.select("qid", "id", "score", "rank"), topics, "qid", threshold=0.5)
 
 
 _DOCS = "(SELECT doc_id, text, source, lang, n_chars, CASE doc_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'document' WHEN 2 THEN 'web' END AS kind FROM documents)"
