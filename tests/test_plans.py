@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
-from moraine.operators import vector
+from moraine import session
+from moraine.operators import chunking, vector
 from moraine.plans import registry
+from moraine.sources import files, html
 
 
 @pytest.mark.parametrize("name", ["proposal_search", "judge_select", "candidate_merge", "acceptance_ladder"])
@@ -15,3 +18,24 @@ def test_the_search_runs_once(spark, monkeypatch, name):
     monkeypatch.setattr(vector, "top_k", lambda *a, **b: ran.append(1) or real(*a, **b))
     df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(ran) == 1 and df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 3
+
+
+def test_rows_leave_the_worker_in_small_batches(spark, monkeypatch):
+    """However many rows a batch has, and however many rows each gives, what is held at once is bounded, and what reaches Python is cut by bytes."""
+    runs = []
+    monkeypatch.setattr(session, "map_batches", lambda df, run, schema: runs.append(run))
+    text = "\n\n".join(f"Paragraph {i} has these words and then some more of them." for i in range(60))
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "x")], "page_id long, html string")
+    chunking.chunk_texts(docs), html.read_chunks(pages), html.read_selected(pages, "article"), files.read_markdown(docs)
+    for run, value in zip(runs, (text, f"<article><p>{text}</p></article>", f"<article><p>{text}</p></article>", text), strict=True):
+        got = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array([value] * 900)], names=["id", "text"])])))
+        assert len(got) > 2 and max(b.num_rows for b in got) <= session.OUT_ROWS and max(b.nbytes for b in got) < 3 * session.OUT_CHARS
+        assert {i for b in got for i in b.column(0).to_pylist()} == set(range(900))
+
+
+def test_batches_of_texts_are_cut_by_bytes(spark):
+    """The session's batches are small once such a map is planned."""
+    docs = spark.createDataFrame([(i, "word " * 20_000) for i in range(200)], "doc_id long, text string").coalesce(1)
+    sizes = session.map_batches(docs, lambda parts: (pa.RecordBatch.from_arrays([pa.array([p.nbytes])], names=["n"]) for p in parts), "n long").collect()
+    assert len(sizes) > 3 and max(r.n for r in sizes) < 2 * session.ARROW_BYTES
