@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from moraine import session
-from moraine.operators import chunking, vector
+from moraine.operators import chunking, context, vector
 from moraine.plans import registry
 from moraine.sources import files, html
 
@@ -39,3 +39,19 @@ def test_batches_of_texts_are_cut_by_bytes(spark):
     docs = spark.createDataFrame([(i, "word " * 20_000) for i in range(200)], "doc_id long, text string").coalesce(1)
     sizes = session.map_batches(docs, lambda parts: (pa.RecordBatch.from_arrays([pa.array([p.nbytes])], names=["n"]) for p in parts), "n long").collect()
     assert len(sizes) > 3 and max(r.n for r in sizes) < 2 * session.ARROW_BYTES
+
+
+def test_contexts_by_document(spark):
+    """Looked up within the document, contexts are the same as by joins; ids of other documents aren't reached, and hits that are there twice stay twice."""
+    rows = [(d, f"{d}{c}", t, p and f"{d}{p}", a and f"{d}{a}", b and f"{d}{b}") for d in (1, 2) for c, t, p, a, b in [("a", "self text.", "p", "b", "c"), ("b", "before", "p", None, None), ("c", "after", "p", None, None), ("d", "open:", "q", "b", "e"), ("e", "next of q", "q", None, None), ("f", "lone", "q", "b", "c")]]
+    c = spark.createDataFrame(rows + [(1, "1p", "the parent", None, None, None)], "doc int, chunk_id string, text string, parent_chunk_id string, window_prev_id string, window_next_id string")
+    hits = c.unionByName(c.where("chunk_id = '2a'"))
+    for of in (context.document_context, context.web_context):
+        want, got = (sorted((r.chunk_id, r.context) for r in x.collect()) for x in (of(hits, c), of(hits, c, "doc")))
+        assert got == want and len(got) == 14
+
+
+@pytest.mark.parametrize("name", ["document_context", "web_context"])
+def test_contexts_shuffle_texts_once(spark, name):
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
