@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +25,34 @@ def median_fonts(raw: DataFrame, by: list[str]) -> DataFrame:
     return raw.groupBy(*by).agg(F.coalesce(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))), F.lit(11.0)).alias("median_font"))
 
 
+def _covered(t: Callable[[str], Column], share: float) -> Column:
+    """Whether share of a block's area or more lies in the box whose sides t gives."""
+    width = F.greatest(F.lit(0.0), F.least(F.col("x1"), t("x1")) - F.greatest(F.col("x0"), t("x0")))
+    height = F.greatest(F.lit(0.0), F.least(F.col("y1"), t("y1")) - F.greatest(F.col("y0"), t("y0")))
+    return width * height / F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9)) >= share
+
+
 def without_tables(raw: DataFrame, tables: DataFrame, by: list[str], *, share: float = 0.3) -> DataFrame:
     """Blocks of which less than share of the area lies in any table's box of the page: an anti-join on the page and the overlap."""
     t = tables.select(*by, *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")))
-    width = F.greatest(F.lit(0.0), F.least("x1", "t_x1") - F.greatest("x0", "t_x0"))
-    height = F.greatest(F.lit(0.0), F.least("y1", "t_y1") - F.greatest("y0", "t_y0"))
-    area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))
     same = [raw[b] == t[b] for b in by]
-    return raw.join(t, [*same, width * height / area >= share], "left_anti")
+    return raw.join(t, [*same, _covered(lambda c: F.col(f"t_{c}"), share)], "left_anti")
+
+
+def _in_margin() -> Column:
+    return (F.col("y0") <= 0.08 * F.col("page_height")) | (F.col("y1") >= 0.94 * F.col("page_height"))
+
+
+def _repeats(n: Column, pages: Column) -> Column:
+    return (pages >= 2) & (n >= F.greatest(F.lit(2), F.floor(0.5 * pages)))
 
 
 def repeated_noise(raw: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc and key of texts that stand in the margins of half the pages or more, and of two at least."""
-    margin = (F.col("y0") <= 0.08 * F.col("page_height")) | (F.col("y1") >= 0.94 * F.col("page_height"))
     keyed = raw.withColumn("key", T.noise_key(F.col("text")))
     pages = raw.groupBy(doc).agg(F.countDistinct("page_number").alias("pages")).where("pages >= 2")
-    seen = keyed.where(margin & (F.length("key") >= 4)).groupBy(doc, "key").agg(F.countDistinct("page_number").alias("n"))
-    return seen.join(pages, doc).where(F.col("n") >= F.greatest(F.lit(2), F.floor(0.5 * F.col("pages")))).select(doc, "key")
+    seen = keyed.where(_in_margin() & (F.length("key") >= 4)).groupBy(doc, "key").agg(F.countDistinct("page_number").alias("n"))
+    return seen.join(pages, doc).where(_repeats(F.col("n"), F.col("pages"))).select(doc, "key")
 
 
 def without_noise(raw: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -47,17 +60,34 @@ def without_noise(raw: DataFrame, doc: str = "doc_id") -> DataFrame:
     return raw.join(noise, (F.col(doc) == F.col("_doc")) & (T.noise_key(F.col("text")) == F.col("_key")), "left_anti")
 
 
+def _side() -> Column:
+    left = F.col("x1") < 0.55 * F.col("page_width")
+    return F.when(F.col("x0") < 0.42 * F.col("page_width"), F.when(left, "l")).when(F.col("x0") > 0.45 * F.col("page_width"), "r")
+
+
+def _column_stats() -> dict[str, Column]:
+    """Aggregates over a page of blocks with their side."""
+    left, right = F.col("side") == "l", F.col("side") == "r"
+    return {"n": F.count("*"), "nl": F.count_if(left), "nr": F.count_if(right), "ml": F.median(F.when(left, F.col("x1"))), "mr": F.median(F.when(right, F.col("x0")))}
+
+
+def _two(c: Callable[[str], Column], beside: Column) -> Column:
+    return F.coalesce((c("n") >= 4) & (c("nl") >= 2) & (c("nr") >= 2) & (c("mr") - c("ml") >= 35) & F.coalesce(beside, F.lit(False)), F.lit(False))
+
+
+def _level(ly0: Column, ly1: Column, y0: Column, y1: Column) -> Column:
+    """Whether two blocks are side by side."""
+    return ((ly0 < y1) & (y0 < ly1)) | (F.abs(ly0 - y0) < 18)
+
+
 def columns_of(raw: DataFrame, by: list[str]) -> DataFrame:
     """by and two_columns: four blocks or more, two on each side, an opened gap of 35 between the medians, and a pair side by side."""
-    left = F.col("x1") < 0.55 * F.col("page_width")
-    side = F.when(F.col("x0") < 0.42 * F.col("page_width"), F.when(left, "l")).when(F.col("x0") > 0.45 * F.col("page_width"), "r")
-    s = raw.withColumn("side", side)
-    stats = s.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "l").alias("nl"), F.count_if(F.col("side") == "r").alias("nr"), F.median(F.when(F.col("side") == "l", F.col("x1"))).alias("ml"), F.median(F.when(F.col("side") == "r", F.col("x0"))).alias("mr"))
+    s = raw.withColumn("side", _side())
+    stats = s.groupBy(*by).agg(*(v.alias(k) for k, v in _column_stats().items()))
     a = s.where("side = 'l'").select(*by, F.col("y0").alias("ly0"), F.col("y1").alias("ly1"))
     b = s.where("side = 'r'").select(*by, "y0", "y1")
-    beside = a.join(b, by).where(((F.col("ly0") < F.col("y1")) & (F.col("y0") < F.col("ly1"))) | (F.abs(F.col("ly0") - F.col("y0")) < 18)).select(*by).distinct().withColumn("beside", F.lit(True))
-    two = (F.col("n") >= 4) & (F.col("nl") >= 2) & (F.col("nr") >= 2) & (F.col("mr") - F.col("ml") >= 35) & F.coalesce("beside", F.lit(False))
-    return stats.join(beside, by, "left").select(*by, F.coalesce(two, F.lit(False)).alias("two_columns"))
+    beside = a.join(b, by).where(_level(F.col("ly0"), F.col("ly1"), F.col("y0"), F.col("y1"))).select(*by).distinct().withColumn("beside", F.lit(True))
+    return stats.join(beside, by, "left").select(*by, _two(F.col, F.col("beside")).alias("two_columns"))
 
 
 def reading_order(raw: DataFrame, by: list[str], two_columns: Column) -> DataFrame:
@@ -87,9 +117,27 @@ def _typed(own: DataFrame, heading: Column, by: str) -> DataFrame:
 def scan(raw: DataFrame, tables: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """Raw blocks of laid-out pages as blocks of their documents, in reading order over all pages, without repeated margins and tables."""
     by = [doc, "page_number"]
-    own = without_tables(without_noise(raw, doc), tables, by).withColumn("raw_text", F.col("text")).withColumn("text", T.squeezed(F.col("text")))
+    boxes = tables.select(*by, F.struct("x0", "y0", "x1", "y1").alias("_box"))
+    own = raw.withColumn("_box", F.lit(None).cast(boxes.schema["_box"].dataType)).unionByName(boxes, allowMissingColumns=True)
+    # one shuffle, by document: the rest is windows over its pages and texts; sorts are in an order that serves the next ones
+    own = own.where(F.col(doc).isNotNull() & F.col("page_number").isNotNull()).repartition(doc)
+    page, whole, alike = Window.partitionBy(*by), Window.partitionBy(doc), Window.partitionBy(doc, "_key")
+    own = own.withColumn("_first", F.row_number().over(page.orderBy(F.col("_box").isNotNull())) == 1)
+    own = own.withColumn("_boxes", F.collect_list("_box").over(page)).where("_box IS NULL")
+    own = own.withColumn("_pages", F.count_if("_first").over(whole)).withColumn("_key", T.noise_key(F.col("text")))
+    # repeated margins are told from all blocks, those in tables too
+    seen = F.coalesce(_in_margin() & (F.length("_key") >= 4), F.lit(False))
+    own = own.withColumn("_seen", seen).withColumn("_once", F.col("_seen") & (F.row_number().over(Window.partitionBy(doc, "_key", "page_number").orderBy(F.desc("_seen"))) == 1))
+    own = own.withColumn("_n", F.count_if("_once").over(alike)).where(F.col("_key").isNull() | ~_repeats(F.col("_n"), F.col("_pages")))
+    own = own.where(~F.coalesce(F.exists("_boxes", lambda b: _covered(lambda c: b[c], 0.3)), F.lit(False)))
+    own = own.drop("_box", "_boxes", "_first", "_pages", "_key", "_seen", "_once", "_n").withColumn("raw_text", F.col("text")).withColumn("text", T.squeezed(F.col("text")))
     # the columns are told from the blocks that are left; blank ones count, but give no block
-    own = own.join(columns_of(own, by), by).join(median_fonts(own, by), by).where("text <> ''")
+    own = own.withColumn("side", _side())
+    rights = F.collect_list(F.when(F.col("side") == "r", F.struct("y0", "y1"))).over(page)
+    stats = {f"_{k}": v.over(page) for k, v in _column_stats().items()}
+    own = own.withColumns(stats | {"_rights": rights, "median_font": F.coalesce(F.median(F.when(F.col("font_size") > 0, F.col("font_size"))).over(page), F.lit(11.0))})
+    own = own.withColumn("_beside", F.max(F.when(F.col("side") == "l", F.exists("_rights", lambda r: _level(F.col("y0"), F.col("y1"), r["y0"], r["y1"])))).over(page))
+    own = own.withColumn("two_columns", _two(lambda c: F.col(f"_{c}"), F.col("_beside"))).drop("side", "_rights", "_beside", *stats).where("text <> ''")
     column = F.when(F.col("two_columns") & ((F.col("x0") + F.col("x1")) / 2 > F.col("page_width") / 2), 1).otherwise(0)
     order = Window.partitionBy(doc).orderBy("page_number", column, F.bround(F.col("y0") / 4) * 4, "x0", "y0")
     own = own.withColumn("block_order", F.row_number().over(order) - 1)

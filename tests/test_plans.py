@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from moraine import session
-from moraine.operators import chunking, context, vector
+from moraine.functions import text as T
+from moraine.operators import chunking, context, layout, vector
 from moraine.plans import registry
 from moraine.sources import files, html
 
@@ -55,3 +57,23 @@ def test_contexts_by_document(spark):
 def test_contexts_shuffle_texts_once(spark, name):
     df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_scan_shuffles_blocks_once(spark):
+    """One exchange of the blocks and two for the boxes, which are a distinct of the blocks' pages."""
+    df = registry.QUERIES["layout_scan"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
+
+
+def test_scan_by_its_steps(spark):
+    """Repeated margins, tables, columns and nulls give what the single operators give one after the other."""
+    rows = [(d, p, t, float(x), float(y), x + 200.0, y + 12.0, 20.0 if y == 300 else 11.0, y == 400, 595.0, 842.0) for d in (1, 2) for p in (1, 2, 3) for t, x, y in [(f"Head {p}", 40, 20), (f"Head {p}", 40, 500), ("left", 40, 100), ("Right title", 320, 100), ("  ", 320, 200), (f"Only {d * p}", 40, 300), (None, 40, 400), ("In a table", 45, 600), ("low", 320, 820 if p == d else 700)]]
+    rows += [(3, 1, "One page", 40.0, 20.0, 90.0, 32.0, 11.0, False, 595.0, 842.0), (None, 1, "x", 1.0, 1.0, 2.0, 2.0, 1.0, False, 595.0, 842.0), (1, None, "Head 9", 40.0, 20.0, 90.0, 32.0, 11.0, False, 595.0, 842.0), (1, 1, "no place", None, None, None, None, None, None, 595.0, 842.0)]
+    raw = spark.createDataFrame(rows, "doc_id int, page_number int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean, page_width double, page_height double")
+    boxes = spark.createDataFrame([(1, 1, 30.0, 590.0, 300.0, 640.0), (1, 1, 30.0, 590.0, 300.0, 640.0), (2, 3, 30.0, 590.0, 300.0, 640.0), (9, 9, 0.0, 0.0, 1.0, 1.0), (1, None, 0.0, 0.0, 600.0, 900.0), (1, 2, None, 0.0, 600.0, 900.0)], "doc_id int, page_number int, x0 double, y0 double, x1 double, y1 double")
+    by = ["doc_id", "page_number"]
+    own = layout.without_tables(layout.without_noise(raw), boxes, by).withColumn("text", T.squeezed(F.col("text")))
+    own = own.join(layout.columns_of(own, by), by).join(layout.median_fonts(own, by), by).where("text <> ''")
+    bag = lambda df: sorted(map(repr, df.select(*by, "text", "x0", "y0", "two_columns", "median_font").collect()))
+    got = layout.scan(raw, boxes)
+    assert bag(got) == bag(own) and got.count() > 20 and got.where("two_columns").count() > 0
