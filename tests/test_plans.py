@@ -77,3 +77,14 @@ def test_scan_by_its_steps(spark):
     bag = lambda df: sorted(map(repr, df.select(*by, "text", "x0", "y0", "two_columns", "median_font").collect()))
     got = layout.scan(raw, boxes)
     assert bag(got) == bag(own) and got.count() > 20 and got.where("two_columns").count() > 0
+
+
+@pytest.mark.parametrize("n,m,dim", [(10_000, 180_000, 384), (130_000, 1_800_000, 384), (600_000, 600_000, 64)])
+def test_cells_are_bounded_and_large(spark, n, m, dim):
+    """A worker's queries and the corpus behind them keep to their bytes; the corpus isn't cut finer than that unless a cell still has many rows."""
+    count = lambda rows: spark.range(rows).select("id", F.array_repeat(F.lit(1.0).cast("float"), dim).alias("v"))
+    few = spark.range(1).select(F.array_repeat(F.lit(1.0).cast("float"), dim).alias("v"))
+    sized = type("Sized", (), {"agg": lambda self, *a: type("Row", (), {"first": lambda self: (n, few.select(F.size("v")).first()[0])})(), "sparkSession": spark})()
+    q, c = vector._cells(sized, count(m).select("id"), "v", 25, (True, True))
+    assert n / q * (8 * dim + 16 * 25 + 32) <= vector.QUERY_BYTES * 1.01 and m / c * (4 * dim + 8) <= vector.CORPUS_BYTES * 1.01
+    assert m / c >= min(vector.CELL_ROWS, m) or c == -(-m * (4 * dim + 8) // vector.CORPUS_BYTES)
